@@ -93,7 +93,7 @@ def wording_tokens(col: Column) -> Column:
 
 def prose_sentences(col: Column) -> Column:
     """Split after ``.!?`` before a capital or a digit."""
-    return F.transform(F.split(clean(col), r"(?<=[.!?])\s+(?=[A-Z0-9])"), clean)
+    return F.transform(F.split(clean(col), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: clean(s))
 
 
 def plain_sentences(col: Column) -> Column:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from attestry.plans import ranking  # noqa: F401
+from attestry.plans import evidence, ranking, textjobs  # noqa: F401
 from attestry.plans.registry import ORACLES, QUERIES  # noqa: F401
