@@ -15,7 +15,7 @@ from attestry.plans.ranking import QUEUE_CTE, order_queue
 from attestry.plans.registry import query, quote
 from attestry.session import cut_lineage
 from attestry.sources import intake, sinks
-from attestry.sources.tables import table
+from attestry.sources.tables import spread, table
 
 
 def redact_sql(column: str) -> str:
@@ -154,7 +154,7 @@ def _csv_sql(column: str) -> str:
     SELECT concat(CAST(doc_id AS VARCHAR), ',', lang, ',', {_csv_sql('body')}) AS line FROM d""",
 )
 def csv_report(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         "doc_id", "lang",
         F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text")).alias("body"),
     )
@@ -193,7 +193,7 @@ def snapshot_list(spark, folder):
       regexp_matches(raw, {quote(rules.INJECTION)}) AS unsafe, provider FROM n""",
 )
 def evidence_normalise(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         F.concat(F.lit("doc-"), "doc_id").alias("rid"), F.lit(None).cast("string").alias("name"), "text",
         F.lower("source").alias("provider"), F.lit(None).cast("string").alias("stamp"),
     )
@@ -219,7 +219,7 @@ LABEL_SQL = """CASE doc_id % 6 WHEN 0 THEN 'Google' WHEN 1 THEN 'MSTeams' WHEN 2
       count(*) AS n_records FROM documents GROUP BY 1""",
 )
 def provider_canonical(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     provider = evidence.canonical_provider(F.expr(LABEL_SQL), F.col("source"))
     return docs.groupBy(provider.alias("provider")).agg(F.count(F.lit(1)).alias("n_records"))
 
@@ -243,7 +243,7 @@ _NAMES = [n for n, _, _ in rules.SECRET_RULES]
       {', '.join(f'CAST(sum({n}) AS BIGINT) AS n_{n}' for n in _NAMES)} FROM h GROUP BY 1""",
 )
 def secret_redact_scan(spark, folder):
-    docs = table(spark, folder, "documents").select("source", F.col("text").alias("body"))
+    docs = spread(table(spark, folder, "documents")).select("source", F.col("text").alias("body"))
     rec = records(spark, folder).select(F.col("provider").alias("source"), F.col("excerpt").alias("body"))
     return evidence.secret_counts(docs.unionByName(rec), "body", "source")
 
@@ -331,7 +331,7 @@ _NOISE = " + ".join(f"CAST({_is('body', p)} AS INT)" for p in rules.NOISE_PATTER
 )
 def noise_signal_filter(spark, folder):
     rec = records(spark, folder).select("record_id", "provider", F.concat_ws(" ", "title", "excerpt").alias("body"))
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         F.concat(F.lit("doc-"), "doc_id").alias("record_id"), F.lit("github").alias("provider"), F.col("text").alias("body")
     )
     kept = evidence.without_noise(rec.unionByName(docs), F.col("body"))
@@ -405,7 +405,7 @@ def public_projection(spark, folder):
     """SELECT doc_id, sha256(text) AS stored_hash FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0""",
 )
 def integrity_filter(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         "doc_id", "text",
         F.when(F.col("doc_id") % 10 == 0, F.sha2(F.concat("text", F.lit("x")), 256))
         .otherwise(F.sha2("text", 256)).alias("stored_hash"),

@@ -10,7 +10,7 @@ from attestry.operators import textjobs
 from attestry.plans.evidence import clean_sql
 from attestry.plans.fixtures import QUESTIONS_CTE, RECORDS_CTE, questions, records
 from attestry.plans.registry import query, quote, sql_list
-from attestry.sources.tables import table
+from attestry.sources.tables import spread, table
 
 def body():
     """Title and excerpt of a record as one text."""
@@ -19,7 +19,7 @@ def body():
 
 def corpus(spark, folder):
     """Documents and records as one table of texts."""
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         F.concat(F.lit("doc-"), "doc_id").alias("rid"), F.col("text").alias("body")
     )
     rec = records(spark, folder).select(F.col("record_id").alias("rid"), body().alias("body"))
@@ -50,7 +50,7 @@ def stem_tokens_sql(column: str) -> str:
     SELECT token, count(*) AS n FROM t GROUP BY 1""",
 )
 def token_counts(spark, folder):
-    return textjobs.token_counts(table(spark, folder, "documents"), F.col("text"))
+    return textjobs.token_counts(spread(table(spark, folder, "documents")), F.col("text"))
 
 
 def search_tokens_sql(column: str) -> str:
@@ -64,7 +64,7 @@ def search_tokens_sql(column: str) -> str:
     SELECT token, count(*) AS df FROM t GROUP BY 1""",
 )
 def doc_frequency(spark, folder):
-    return textjobs.document_frequency(table(spark, folder, "documents"), F.col("text"))
+    return textjobs.document_frequency(spread(table(spark, folder, "documents")), F.col("text"))
 
 
 SHEET_SQL = """SELECT record_id AS rid, concat('Overview of ', title, '. ## Notes for the reader
@@ -93,7 +93,7 @@ _SENT = r"regexp_split_to_array(regexp_replace(b, '([.!?])\s+([A-Z0-9])', '\1' |
     SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS ordinal, u AS unit FROM e WHERE length(u) BETWEEN 18 AND 420""",
 )
 def sentence_units(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         F.concat(F.lit("doc-"), "doc_id").alias("rid"), F.col("text").alias("body")
     )
     sheets = spark.sql(SHEET_SQL, records=records(spark, folder))
@@ -227,7 +227,7 @@ def deadline_resolve(spark, folder):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, length(phrase) DESC, phrase) AS place FROM s) r WHERE place <= 6""",
 )
 def entity_phrases(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     return textjobs.entity_phrases(docs, "source", F.col("text"))
 
 
