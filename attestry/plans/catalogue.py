@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from attestry.plans import clusters, evaluation, eventlog, evidence, joins, ranking, textjobs  # noqa: F401
+from attestry.plans import asking, clusters, evaluation, eventlog, evidence, joins, ranking, textjobs  # noqa: F401
 from attestry.plans.registry import ORACLES, QUERIES  # noqa: F401

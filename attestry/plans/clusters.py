@@ -127,7 +127,8 @@ def _keyed(spark, folder):
 
 def _wording(spark, folder):
     sigs = cluster.signatures(_keyed(spark, folder), "node", ["home"])
-    return cluster.wording_pairs(sigs).select(
+    pairs = cluster.wording_pairs(sigs)
+    return pairs.select(
         F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"),
         F.col("l.home").alias("home_a"), F.col("r.home").alias("home_b"),
     )
@@ -146,10 +147,9 @@ def wording_pairs(spark, folder):
     ends = pairs.select(F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit("a").alias("side")).union(
         pairs.select("b", "n_b", F.lit("b"))
     )
-    n_ends = ends.distinct().agg(F.sum("n").alias("n_ends"))
     return pairs.agg(
         F.sum(product).alias("n_pairs"), F.sum(F.when(idless, product).otherwise(0)).alias("n_idless")
-    ).crossJoin(n_ends)
+    ).withColumn("n_ends", ends.distinct().agg(F.sum("n")).scalar())
 
 
 @query(

@@ -36,11 +36,11 @@ SELECT concat('rec-', cast(k AS string)) AS record_id, k AS seq, cust, workspace
          WHEN 8 THEN 'Support follow-up' ELSE 'Policy OPS-POL-14' END AS title,
        CASE k % 10
          WHEN 0 THEN concat('Engineering will ship ENG-', cast(cust AS string), ' before ', cast(d AS string),
-              '. The customer renewal for ', name, ' is blocked.')
+              '. The customer renewal for ', name, ' is blocked. Ship date ', cast(1 + cust % 28 AS string), ' March 2026.')
          WHEN 1 THEN concat('ENG-', cast(cust AS string), ' is resolved. The fix was merged on ', {_natural('d')}, '.',
               CASE WHEN k % 30 = 1 THEN concat(' It closes INC-', cast(inc AS string), '.') ELSE '' END)
          WHEN 2 THEN concat('The ENG-', cast(cust AS string), ' ticket still open. Target deadline ', {_natural('d + 14')},
-              ', moved from ', {_natural('d')}, '.')
+              ', moved from ', cast(1 + cust % 28 AS string), ' March 2026.')
          WHEN 3 THEN concat('Please review the contract for ', name, ' by ', {_natural('d')}, '. There is no customer impact.')
          WHEN 4 THEN concat('Security incident INC-', cast(inc AS string), ' was reported by ', name,
               '. It is tracked as ENG-', cast(cust AS string), ' in linear.')

@@ -49,7 +49,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (file sizes at the leaves)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
