@@ -69,8 +69,7 @@ def literal_array(values) -> Column:
 def stem_tokens(col: Column) -> Column:
     """Question/answer tokens: lower case, longer than two, no stop words, suffix cut."""
     words = F.split(F.trim(F.regexp_replace(F.lower(clean(col)), r"[^a-z0-9-]+", " ")), " ")
-    stop = literal_array(rules.ANSWER_STOP_WORDS)
-    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(rules.ANSWER_STOP_WORDS))
     return F.transform(kept, lambda w: F.regexp_replace(w, r"(?:ing|ed|es|s)$", ""))
 
 
@@ -80,15 +79,13 @@ def search_tokens(col: Column) -> Column:
         F.split(F.lower(col), r"[^a-z0-9#-]+"),
         lambda w: F.regexp_replace(w, r"^[#-]+|[#-]+$", ""),
     )
-    stop = literal_array(rules.SEARCH_STOP_WORDS)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(rules.SEARCH_STOP_WORDS))
 
 
 def wording_tokens(col: Column) -> Column:
     """Distinct task-wording tokens of at least three characters."""
-    stop = literal_array(rules.WORDING_STOP_WORDS)
     words = F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(rules.WORDING_STOP_WORDS)))
 
 
 def prose_sentences(col: Column) -> Column:

@@ -165,29 +165,34 @@ def signatures(df: DataFrame, key: str, extra: list[str]) -> DataFrame:
     return wording_features(df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("rep"))
 
 
-def _prefixes(sigs: DataFrame) -> DataFrame:
-    """Rarest tokens of each signature: two sets with Jaccard >= t always share one of them.
+def _probes(each: DataFrame) -> DataFrame:
+    """Tokens by which a signature looks for its matches: few, rare, and none can be missed.
 
-    A set of n tokens keeps its n - ceil(t n) + 1 rarest ones, so the most common tokens
-    do not block and no candidate pair is lost.
+    A token that is no year, actor or product of its own record must occur in the other
+    record, so the rarest such token is enough. A signature without one uses its
+    n - ceil(t n) + 1 rarest tokens, of which any set with Jaccard >= t shares at least one.
     """
-    long = sigs.where(F.size("tokens") >= MIN_SHARED)
-    each = long.select("workspace_id", "rep", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     frequency = each.groupBy("workspace_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = Window.partitionBy("workspace_id", "rep").orderBy("df", "token")  # at most 180 tokens of one span
-    ranked = each.join(frequency, ["workspace_id", "token"]).withColumn("at", F.row_number().over(ordered))
+    weighed = each.join(frequency, ["workspace_id", "token"])
+    keys = ["workspace_id", "rep"]
+    rarest = weighed.where("core").groupBy(*keys).agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    coreless = weighed.join(rarest.select(*keys), keys, "left_anti")
+    ordered = Window.partitionBy(*keys).orderBy("df", "token")  # the tokens of one span of at most 360 characters
     keep = F.col("size") - F.ceil(MIN_JACCARD * F.col("size")) + 1
-    return ranked.where(F.col("at") <= keep).select("workspace_id", "rep", "token")
+    prefix = coreless.withColumn("at", F.row_number().over(ordered)).where(F.col("at") <= keep)
+    return rarest.select(*keys, "token").union(prefix.select(*keys, "token"))
 
 
 def wording_pairs(sigs: DataFrame) -> DataFrame:
     """Signature pairs of different providers with the same wording, each pair once."""
     sigs = cut_lineage(sigs)
-    prefix = _prefixes(sigs)
-    other = prefix.select("workspace_id", "token", F.col("rep").alias("rep2"))
-    candidates = (
-        prefix.join(other, ["workspace_id", "token"]).where(F.col("rep") < F.col("rep2")).select("rep", "rep2").distinct()
-    )
+    own = F.concat("years", "actors", "products")
+    each = sigs.where(F.size("tokens") >= MIN_SHARED).select(
+        "workspace_id", "rep", F.size("tokens").alias("size"), own.alias("_own"), F.explode("tokens").alias("token")
+    ).withColumn("core", ~F.array_contains("_own", F.col("token"))).drop("_own")
+    other = each.select("workspace_id", "token", F.col("rep").alias("rep2"))
+    met = _probes(each).join(other, ["workspace_id", "token"]).where("rep <> rep2")
+    candidates = met.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
     fields = [c for c in sigs.columns if c != "rep"]
     packed = sigs.select("rep", F.struct(*fields).alias("s"))
     joined = candidates.join(packed.withColumnRenamed("s", "l"), "rep").join(
