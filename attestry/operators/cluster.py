@@ -168,9 +168,10 @@ def signatures(df: DataFrame, key: str, extra: list[str]) -> DataFrame:
 def _probes(each: DataFrame) -> DataFrame:
     """Tokens by which a signature looks for its matches: few, rare, and none can be missed.
 
-    A token that is no year, actor or product of its own record must occur in the other
-    record, so the rarest such token is enough. A signature without one uses its
-    n - ceil(t n) + 1 rarest tokens, of which any set with Jaccard >= t shares at least one.
+    Apart from years, only one of two matching records may have words of its own, so for the
+    other one every word but its years occurs in both and its rarest such word finds the
+    pair. A signature of nothing but years uses its n - ceil(t n) + 1 rarest tokens, of
+    which any set with Jaccard >= t shares at least one.
     """
     frequency = each.groupBy("workspace_id", "token").agg(F.count(F.lit(1)).alias("df"))
     weighed = each.join(frequency, ["workspace_id", "token"])
@@ -186,10 +187,9 @@ def _probes(each: DataFrame) -> DataFrame:
 def wording_pairs(sigs: DataFrame) -> DataFrame:
     """Signature pairs of different providers with the same wording, each pair once."""
     sigs = cut_lineage(sigs)
-    own = F.concat("years", "actors", "products")
     each = sigs.where(F.size("tokens") >= MIN_SHARED).select(
-        "workspace_id", "rep", F.size("tokens").alias("size"), own.alias("_own"), F.explode("tokens").alias("token")
-    ).withColumn("core", ~F.array_contains("_own", F.col("token"))).drop("_own")
+        "workspace_id", "rep", F.size("tokens").alias("size"), "years", F.explode("tokens").alias("token")
+    ).withColumn("core", ~F.array_contains("years", F.col("token"))).drop("years")
     other = each.select("workspace_id", "token", F.col("rep").alias("rep2"))
     met = _probes(each).join(other, ["workspace_id", "token"]).where("rep <> rep2")
     candidates = met.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
