@@ -10,7 +10,7 @@ from attestry.plans.eventlog import LOG_CTE, log
 from attestry.plans.evidence import clean_sql
 from attestry.plans.fixtures import RECORDS_CTE, records
 from attestry.plans.ranking import SCORED_CTE, order_inputs
-from attestry.plans.registry import query, quote, sql_list
+from attestry.plans.registry import query, sql_list
 from attestry.sources.tables import spread, table
 
 

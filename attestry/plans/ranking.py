@@ -254,13 +254,6 @@ def why_above_next(spark, folder):
     return ranking.why_above_next(order_queue(spark, folder))
 
 
-def _patched(**changes: str) -> str:
-    """Score SQL with some inputs replaced."""
-    columns = ["urgency", "customer_revenue", "dependency_unlock", "unresolved_dependency", "status"]
-    inner = ", ".join(f"{changes.get(c, c)} AS {c}" for c in columns)
-    return inner
-
-
 _CF = {
     "deadline_urgency": {"urgency": "18e0"},
     "customer_revenue": {"customer_revenue": "0e0"},
