@@ -1,8 +1,9 @@
 """What the corpus operators share: shared tables, word hashing, identity keys, components.
 
-Row identity. ``keyed`` adds ``key`` (``doc_id``; rows without one get the smallest long, so
-they come first) and ``tie`` (31 bits of the text's hash). Rows that agree in both are the same
-document repeated; rows with one ``doc_id`` and different texts stay apart through ``tie``.
+Row identity. ``keyed`` adds ``key`` (``doc_id``; rows without one get a number of their text's
+above ``NO_ID``, so they come last) and ``tie`` (31 bits of the text's hash). Rows that agree in
+both are the same document repeated; rows with one ``doc_id`` and different texts stay apart
+through ``tie``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-NO_ID = -(2**63)
+NO_ID = 2**62
 ARROW_BATCH_BYTES = 8 * 1024 * 1024
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -82,7 +83,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1)) + F.lit(NO_ID)).alias("key"),
         F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("tie"),
     )
 

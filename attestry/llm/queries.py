@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import substring
+from attestry.llm import near_dup, substring
 from attestry.sources.tables import table
 
 QUERIES = {}
@@ -19,3 +19,8 @@ def _query(fn):
 @_query
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(table(spark, folder, "documents"))
+
+
+@_query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), percent=85)

@@ -8,7 +8,7 @@ bits) only around halves that repeat, and a window falls when a smaller ``doc_id
 same document has it earlier. ``doubled`` goes on to twice that length, and so on, until
 nothing repeats.
 
-Nulls count as empty texts. Rows without ``doc_id`` come before all others. Rows that share
+Nulls count as empty texts. Rows without ``doc_id`` come after all others, by text hash. Rows that share
 their ``doc_id`` are one document if their texts agree and are not compared with each other if
 not. Texts shorter than a window lose nothing. Equal texts are settled before the levels: all but the
 first of them lose every word.
