@@ -7,11 +7,12 @@ a text of some hundred shingles is after one or two ranks.
 
 A band hashes a fixed subset of slots; texts that share a band are candidates. Texts with equal
 shingle sets are folded first. Within a band only the member that shares most bands with others
-(the hub) is paired with all; the links found that way give first components. After that, only
-members of *different* components of one band are paired, so no group is expanded into all its
-pairs and no link between components is lost. Every pair is confirmed on the full shingle
-sets. ``rows`` per band are chosen so that a pair at the threshold misses all bands about once
-in a million.
+(the hub) is paired with all; the links found that way give first components. Texts whose bands
+still hold several components get a longer signature with longer, more bands, which texts well
+below the threshold rarely share, and there every member outside a band's largest component
+is paired with the members of other components. So no group is expanded into all its pairs and
+no link between components is left out. Every pair is confirmed on the full shingle sets. The bands of
+both rounds are chosen so that a pair at the threshold shares none about once in 10^5.
 
 Shingles are runs of five lower-cased words, or the whole sequence of a shorter text. Null and
 empty texts have no shingles and stay alone. A ``doc_id`` is one node: rows that repeat it belong
@@ -22,6 +23,7 @@ together. Rows without ``doc_id`` are nodes by their text; a group of only such
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,24 @@ from pyspark.sql import functions as F
 from attestry.llm.common import NO_ID, Shelf, WordHashes, components, keyed, mixed, window_hashes
 from attestry.session import broadcast_if_small
 
-SLOTS, BANDS, SHINGLE = 128, 48, 5
+SHINGLE = 5
 CHUNK = 100_000  # shingles that are signed together
 
 
-def rows_per_band(percent: int) -> int:
-    return max(1, int(math.log(0.25) / math.log(min(percent, 99) / 100)))
+@dataclass(frozen=True)
+class Bands:
+    """A signature of ``slots`` slots, read in ``count`` bands that a pair at the threshold shares with chance ``chance``."""
+
+    slots: int
+    count: int
+    chance: float
+
+    def rows(self, percent: int) -> int:
+        return max(1, int(math.log(self.chance) / math.log(min(percent, 99) / 100)))
+
+
+WIDE = Bands(slots=128, count=48, chance=0.32)
+LONG = Bands(slots=512, count=200, chance=0.074)
 
 
 def shingles(hashes: WordHashes, text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -48,7 +62,7 @@ def shingles(hashes: WordHashes, text: bytes | None, size: int = SHINGLE) -> np.
     return np.unique(window_hashes(hashes.of(words), min(size, len(words)), seed=min(size, len(words))))
 
 
-def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     """One signature row per non-empty set: ``rank << 32 | fraction`` in each slot."""
     sizes = np.array([len(s) for s in sets])
     x = np.concatenate(sets)
@@ -63,7 +77,7 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
             slot, first = pick, pick
         else:
             if order is None:  # most texts are done before any permutation is needed
-                order = np.tile(np.arange(slots, dtype=np.uint8), (len(x), 1))
+                order = np.tile(np.arange(slots, dtype=np.uint16), (len(x), 1))
                 each = np.arange(len(x))
                 order[each, first], order[each, 0] = 0, first
             each = np.arange(len(x))
@@ -83,14 +97,15 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return signature.reshape(-1, slots)
 
 
-def _sign(percent: int):
-    rows = rows_per_band(percent)
-    subsets = np.argsort(mixed(np.arange(BANDS * SLOTS, dtype=np.uint64) + np.uint64(1)).reshape(BANDS, SLOTS), axis=1)[:, :rows]
-    salt = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+def _sign(percent: int, plan: Bands):
+    rows = plan.rows(percent)
+    chance = mixed(np.arange(plan.count * plan.slots, dtype=np.uint64) + np.uint64(1)).reshape(plan.count, plan.slots)
+    subsets = np.argsort(chance, axis=1)[:, :rows]
+    salt = mixed(np.arange(plan.count, dtype=np.uint64) + np.uint64(77))
 
     def keys(sets: list[np.ndarray]) -> np.ndarray:
-        signature = super_minhash(sets)
-        out = np.broadcast_to(salt, (len(sets), BANDS)).copy()
+        signature = super_minhash(sets, plan.slots)
+        out = np.broadcast_to(salt, (len(sets), plan.count)).copy()
         for r in range(rows):
             out = mixed(out ^ (signature[:, subsets[:, r]] * np.uint64(0x9E3779B97F4A7C15)))
         return out.view(np.int64)
@@ -104,7 +119,7 @@ def _sign(percent: int):
             part: list[int] = []
             total = 0
             for i, s in enumerate([*sets, None]):
-                if s is None or total > CHUNK:
+                if s is None or total * plan.slots > CHUNK * WIDE.slots:
                     if part:
                         for j, row in zip(part, keys([sets[j] for j in part])):
                             bands[j] = row
@@ -125,6 +140,9 @@ def _sign(percent: int):
     return run
 
 
+SIGNED = "doc_id long, key long, n_shingles long, fold1 long, fold2 long, bands array<long>"
+
+
 def _confirm(percent: int):
     def run(batches):
         hashes = WordHashes()
@@ -163,9 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     component that no hub needed are not enumerated. Keep the rows with ``kept``.
     """
     shelf = Shelf(docs.sparkSession, "neardup")
-    signed = shelf.keep(
-        keyed(docs).mapInArrow(_sign(percent), "doc_id long, key long, n_shingles long, fold1 long, fold2 long, bands array<long>")
-    )
+    signed = shelf.keep(keyed(docs).mapInArrow(_sign(percent, WIDE), SIGNED))
     fold = ["fold1", "fold2"]
     lead = shelf.keep(signed.where("n_shingles > 0").groupBy(*fold).agg(F.min("key").alias("key")))
     reps = shelf.keep(signed.join(lead, [*fold, "key"]).select(F.col("key").alias("node"), "n_shingles", "bands"))
@@ -188,12 +204,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     mixed_bands = shelf.keep(
         placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     )
-    left = shelf.keep(placed.join(broadcast_if_small(mixed_bands), "band"))
-    right = left.select("band", F.col("node").alias("other"), F.col("n_shingles").alias("other_n"), F.col("component").alias("other_c"))
-    near_size = (F.col("n_shingles") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n_shingles") * percent)
+    unsure = shelf.keep(
+        placed.join(broadcast_if_small(mixed_bands), "band").groupBy("node").agg(F.first("component").alias("component"), F.first("n_shingles").alias("n"))
+    )
+    again = keyed(docs).join(broadcast_if_small(unsure.select(F.col("node").alias("key"))), "key").select("doc_id", "text", "key", "tie")
+    longer = shelf.keep(again.mapInArrow(_sign(percent, LONG), SIGNED).groupBy("key").agg(F.first("bands").alias("bands")))
+    within = shelf.keep(longer.join(unsure, longer.key == unsure.node).select("node", "n", "component", F.explode("bands").alias("band")))
+    held = within.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+    main = shelf.keep(
+        held.agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
+    )
+    sided = shelf.keep(within.join(main.hint("shuffle_hash"), "band"))
+    left = sided.where("component <> main")
+    right = sided.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_c"))
+    near_size = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
+    once = (F.col("other_c") == F.col("main")) | (F.col("node") < F.col("other"))
     rest = (
-        left.join(right, "band").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_c")) & near_size)
-        .select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        left.join(right, "band").where((F.col("component") != F.col("other_c")) & once & near_size)
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     )
     more = confirmed(shelf, docs, shelf.keep(rest.join(stars, ["a", "b"], "left_anti")), percent)
     every = shelf.keep(links.union(more).distinct())
@@ -206,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         lead.withColumnRenamed("key", "node").join(final, "node", "left").join(degree, "node", "left")
         .select(*fold, F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    shelf.drop(reps, shared, members, mates, hubs, stars, placed, mixed_bands, left)
+    shelf.drop(reps, shared, members, mates, hubs, stars, placed, mixed_bands, unsure, longer, within, main, sided)
     found = signed.select("doc_id", "key", "n_shingles", *fold).join(broadcast_if_small(classes), fold, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NO_ID, F.col("component")))
     return found.select(
