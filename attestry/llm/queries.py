@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestry.llm import near_dup, substring
+from attestry.llm import language, mixing, near_dup, substring, toxicity
+from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
 QUERIES = {}
@@ -16,6 +18,27 @@ def _query(fn):
     return fn
 
 
+@_query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxic(table(spark, folder, "documents"), table(spark, folder, "labels"), crc_fold("doc_id", 5) == 0)
+
+
+@_query
+def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+ORACLES["op5_source_mix"] = mixing.SQL
+
+
+@_query
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs, crc_fold("doc_id", 4) != 2)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @_query
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(table(spark, folder, "documents"))
