@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import language, mixing, near_dup, substring, toxicity
+from attestry.llm import decontaminate, language, mixing, near_dup, sharding, substring, toxicity
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
@@ -39,6 +39,11 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@_query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(table(spark, folder, "documents"))
+
+
 @_query
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(table(spark, folder, "documents"))
@@ -47,3 +52,8 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
+@_query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
