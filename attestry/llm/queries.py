@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, language, mixing, near_dup, sharding, substring, toxicity
+from attestry.llm import decontaminate, hamming, language, mixing, near_dup, secret_forest, sharding, substring, toxicity
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
@@ -18,6 +18,20 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return hamming.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLES["op1_hamming_topk"] = hamming.SQL
+
+
+@_query
+def op2_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_forest.scan(table(spark, folder, "documents"))
+
+
 @_query
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxic(table(spark, folder, "documents"), table(spark, folder, "labels"), crc_fold("doc_id", 5) == 0)
