@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, hamming, language, mixing, near_dup, secret_forest, sharding, substring, toxicity
+from attestry.llm import decontaminate, extract, hamming, language, mixing, near_dup, secret_forest, sharding, substring, toxicity
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
@@ -45,6 +45,12 @@ def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op5_source_mix"] = mixing.SQL
 
 
+@_query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extract.extract(pages, extract.fit(pages))
+
+
 @_query
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
