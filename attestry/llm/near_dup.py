@@ -10,7 +10,8 @@ shingle sets are folded first. Within a band only the member that shares most ba
 (the hub) is paired with all; the links found that way give first components. Texts whose bands
 still hold several components get a longer signature with longer, more bands, which texts well
 below the threshold rarely share, and there every member outside a band's largest component
-is paired with the members of other components. So no group is expanded into all its pairs and
+is paired with the members of other components, unless one-bit sketches of the signatures differ by
+four standard deviations more than at the threshold. So no group is expanded into all its pairs and
 no link between components is left out. Every pair is confirmed on the full shingle sets. The bands of
 both rounds are chosen so that a pair at the threshold shares none about once in 10^5.
 
@@ -49,9 +50,14 @@ class Bands:
     def rows(self, percent: int) -> int:
         return max(1, int(math.log(self.chance) / math.log(min(percent, 99) / 100)))
 
+    def apart(self, percent: int) -> int:
+        """Sketch bits in which a pair at the threshold differs, plus four standard deviations."""
+        odds = (1 - percent / 100) / 2
+        return math.ceil(self.slots * odds + 4 * math.sqrt(self.slots * odds * (1 - odds)))
+
 
 WIDE = Bands(slots=128, count=48, chance=0.32)
-LONG = Bands(slots=512, count=200, chance=0.074)
+LONG = Bands(slots=1024, count=600, chance=0.0202)
 
 
 def shingles(hashes: WordHashes, text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -104,11 +110,13 @@ def _sign(percent: int, plan: Bands):
     salt = mixed(np.arange(plan.count, dtype=np.uint64) + np.uint64(77))
 
     def keys(sets: list[np.ndarray]) -> np.ndarray:
+        """Per set one bit of each slot (the sketch), then the band keys."""
         signature = super_minhash(sets, plan.slots)
+        sketch = np.packbits((signature & np.uint64(1)).astype(bool), axis=1).view(np.int64)
         out = np.broadcast_to(salt, (len(sets), plan.count)).copy()
         for r in range(rows):
             out = mixed(out ^ (signature[:, subsets[:, r]] * np.uint64(0x9E3779B97F4A7C15)))
-        return out.view(np.int64)
+        return np.concatenate([sketch, out.view(np.int64)], axis=1)
 
     def run(batches):
         hashes = WordHashes()
@@ -116,31 +124,36 @@ def _sign(percent: int, plan: Bands):
             sets = [shingles(hashes, t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             fold = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes()), "big") for s in sets]
             bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sets)
+            sketches = list(bands)
             part: list[int] = []
             total = 0
             for i, s in enumerate([*sets, None]):
                 if s is None or total * plan.slots > CHUNK * WIDE.slots:
                     if part:
                         for j, row in zip(part, keys([sets[j] for j in part])):
-                            bands[j] = row
+                            sketches[j], bands[j] = row[: plan.slots // 64], row[plan.slots // 64 :]
                     part, total = [], 0
                 if s is not None and len(s):
                     part.append(i)
                     total += len(s)
-            offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([f >> 64 for f in fold], np.uint64).view(np.int64)), pa.array(np.array([f & (2**64 - 1) for f in fold], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))),
+                    long_lists(sketches), long_lists(bands),
                 ],
-                ["doc_id", "key", "n_shingles", "fold1", "fold2", "bands"],
+                ["doc_id", "key", "n_shingles", "fold1", "fold2", "sketch", "bands"],
             )
 
     return run
 
 
-SIGNED = "doc_id long, key long, n_shingles long, fold1 long, fold2 long, bands array<long>"
+SIGNED = "doc_id long, key long, n_shingles long, fold1 long, fold2 long, sketch array<long>, bands array<long>"
+
+
+def long_lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
 def _confirm(percent: int):
@@ -208,19 +221,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         placed.join(broadcast_if_small(mixed_bands), "band").groupBy("node").agg(F.first("component").alias("component"), F.first("n_shingles").alias("n"))
     )
     again = keyed(docs).join(broadcast_if_small(unsure.select(F.col("node").alias("key"))), "key").select("doc_id", "text", "key", "tie")
-    longer = shelf.keep(again.mapInArrow(_sign(percent, LONG), SIGNED).groupBy("key").agg(F.first("bands").alias("bands")))
+    longer = shelf.keep(again.mapInArrow(_sign(percent, LONG), SIGNED).groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     within = shelf.keep(longer.join(unsure, longer.key == unsure.node).select("node", "n", "component", F.explode("bands").alias("band")))
     held = within.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
     main = shelf.keep(
         held.agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
     )
-    sided = shelf.keep(within.join(main.hint("shuffle_hash"), "band"))
+    parts = [F.col("sketch")[i].alias(f"s{i}") for i in range(LONG.slots // 64)]
+    sketches = longer.select(F.col("key").alias("node"), *parts)
+    sided = shelf.keep(within.join(main.hint("shuffle_hash"), "band").join(broadcast_if_small(sketches), "node"))
     left = sided.where("component <> main")
-    right = sided.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_c"))
+    right = sided.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_c"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(len(parts))])
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, len(parts))), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
     near_size = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
     once = (F.col("other_c") == F.col("main")) | (F.col("node") < F.col("other"))
     rest = (
-        left.join(right, "band").where((F.col("component") != F.col("other_c")) & once & near_size)
+        left.join(right, "band").where((F.col("component") != F.col("other_c")) & once & near_size & (differ <= LONG.apart(percent)))
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     )
     more = confirmed(shelf, docs, shelf.keep(rest.join(stars, ["a", "b"], "left_anti")), percent)
