@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code (the signs of an embedding) is cut into segments of about log2(rows) bits, and every
+A 64-bit code (the signs of an embedding) is cut into segments of at least log2(rows) bits (16 at most), and every
 segment has an index. Round ``r`` probes all segment values at distance ``r`` from the query's. After
 it, every code within ``segments * (r + 1) - 1`` has been seen, since a nearer code has some
 segment within ``r``; a query is done when its k-th verified distance is inside that bound,
@@ -33,8 +33,8 @@ def code(embedding: Column) -> Column:
 
 
 def cuts(rows: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment; about log2(rows) bits, 16 at most."""
-    parts = min(BITS, max(4, round(BITS / max(1.0, math.log2(max(2, rows))))))
+    """(first bit, bits) of each segment; at least log2(rows) bits, so a bucket has about one code, and 16 at most."""
+    parts = min(BITS, max(4, int(BITS / max(1.0, math.log2(max(2, rows))))))
     edges = [round(i * BITS / parts) for i in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
