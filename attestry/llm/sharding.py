@@ -148,6 +148,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataFrame:
     for s in reversed(range(shards - 1)):
         place = F.when(F.col("rank") < bounds[s], F.lit(s)).otherwise(place)
     placed = known.where("shard is not null").unionByName(spare.select(*rows, place.cast("int").alias("shard")))
+    # fillers of a shard are neighbours by h, so slots go by another hash
+    placed = placed.withColumn("h", F.xxhash64("h").bitwiseAND(F.lit(2**62 - 1)))
     placed = ranked(shelf, placed, ["shard"], F.lit(max(1, total // shards)), "slot")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
