@@ -78,13 +78,20 @@ class Shelf:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def identity() -> tuple[Column, Column]:
+    """``key`` and ``tie`` of a row of documents."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    number = F.xxhash64(text).bitwiseAND(F.lit(2**61 - 1)) + F.lit(NO_ID)
+    return F.coalesce(F.col("doc_id").cast("long"), number), F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, with the identity columns; other columns cannot clash."""
+    key, tie = identity()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1)) + F.lit(NO_ID)).alias("key"),
-        F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("tie"),
+        key.alias("key"), tie.alias("tie"),
     )
 
 

@@ -70,7 +70,7 @@ def overlaps(shelf: Shelf, docs: DataFrame, items: DataFrame, found: DataFrame,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, contaminated, n_items, item_ids)`` of every row of ``docs``."""
+    """``(doc_id, contaminated, n_items, item_ids, key, tie)`` of every row of ``docs``."""
     shelf = Shelf(docs.sparkSession, "decontaminate")
     items = shelf.keep(
         benchmark.where("text is not null").select(
@@ -85,5 +85,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     out = keyed(docs).select("doc_id", *ID).join(broadcast_if_small(bad), ID, "left")
     return out.select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), *ID,
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD, Shelf
+from attestry.llm.common import WORD, Shelf, identity
 from attestry.session import broadcast_if_small
 
 FILLS = 3
@@ -29,8 +29,9 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     text = F.col("text").cast("string")
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 15), 16, 10).cast("long")
+    key, tie = identity()
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), tie.alias("tie"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h"),
     ).withColumn("part", F.shiftright("h", 48))
 
@@ -54,7 +55,7 @@ def targets(sizes: DataFrame, weights: list[int], max_epochs: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], max_epochs: int = 3, seed: int = 5) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``: ``taken`` words of each document, repeats counted."""
+    """``(doc_id, size, source_size, target, taken, times, key, tie)``: ``times`` copies and ``taken`` words of each document."""
     shelf = Shelf(docs.sparkSession, "mixing")
     rows = shelf.keep(sized(docs, seed))
     ranges = shelf.keep(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], max_epochs: int = 3, se
             with_goals(chosen, first).withColumn("picked", F.col("picked") | F.coalesce(also, F.lit(False))).drop("fill_h", "fill_size")
         )
     times = F.col("whole") + F.col("picked").cast("long")
-    return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "key", "tie")
 
 
 SQL = r"""

@@ -138,17 +138,17 @@ def _sign(percent: int, plan: Bands):
                     total += len(s)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id"), batch.column("key"), batch.column("tie"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([f >> 64 for f in fold], np.uint64).view(np.int64)), pa.array(np.array([f & (2**64 - 1) for f in fold], np.uint64).view(np.int64)),
                     long_lists(sketches), long_lists(bands),
                 ],
-                ["doc_id", "key", "n_shingles", "fold1", "fold2", "sketch", "bands"],
+                ["doc_id", "key", "tie", "n_shingles", "fold1", "fold2", "sketch", "bands"],
             )
 
     return run
 
 
-SIGNED = "doc_id long, key long, n_shingles long, fold1 long, fold2 long, sketch array<long>, bands array<long>"
+SIGNED = "doc_id long, key long, tie int, n_shingles long, fold1 long, fold2 long, sketch array<long>, bands array<long>"
 
 
 def long_lists(values: list[np.ndarray]) -> pa.Array:
@@ -187,7 +187,7 @@ def confirmed(shelf: Shelf, docs: DataFrame, pairs: DataFrame, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, n_links, component_id, kept)`` of every row of ``docs``.
+    """``(doc_id, n_shingles, n_links, component_id, kept, key, tie)`` of every row of ``docs``.
 
     Two documents are linked when ``100 * |A and B| >= percent * |A or B|``. ``n_links`` counts the
     confirmed links of the row's class of equal shingle sets to other classes; links inside one
@@ -251,9 +251,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select(*fold, F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     shelf.drop(reps, shared, members, mates, hubs, stars, placed, mixed_bands, unsure, longer, within, main, sided)
-    found = signed.select("doc_id", "key", "n_shingles", *fold).join(broadcast_if_small(classes), fold, "left")
+    found = signed.select("doc_id", "key", "tie", "n_shingles", *fold).join(broadcast_if_small(classes), fold, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NO_ID, F.col("component")))
     return found.select(
         "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "key", "tie",
     )

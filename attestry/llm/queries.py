@@ -9,6 +9,8 @@ from attestry.llm import decontaminate, extract, hamming, language, mixing, near
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
+import corpus_pipeline
+
 QUERIES = {}
 ORACLES = {}
 
@@ -39,7 +41,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"))
+    return mixing.mix(table(spark, folder, "documents")).drop("times", "key", "tie")
 
 
 ORACLES["op5_source_mix"] = mixing.SQL
@@ -71,9 +73,12 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, folder, "documents"), percent=85)
+    return near_dup.near_duplicates(table(spark, folder, "documents"), percent=85).drop("key", "tie")
 
 
 @_query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key", "tie")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -182,7 +182,7 @@ def _score(model: Model):
                 counts.append(n)
                 places.append(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores), pa.array(counts, pa.int64()), pa.array(places, PLACES)], ["doc_id", "score", "n_sentences", "offending"]
+                [batch.column("doc_id"), batch.column("key"), batch.column("tie"), pa.array(scores), pa.array(counts, pa.int64()), pa.array(places, PLACES)], ["doc_id", "key", "tie", "score", "n_sentences", "offending"]
             )
 
     return run
@@ -192,10 +192,10 @@ PLACES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("sc
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, n_sentences, offending)``; ``offending`` has start, length and score of each toxic sentence."""
+    """``(doc_id, key, tie, score, n_sentences, offending)``; ``offending`` has start, length and score of each toxic sentence."""
     small_batches(docs.sparkSession)
-    return keyed(docs).select("doc_id", "text").mapInArrow(
-        _score(model), "doc_id long, score double, n_sentences long, offending array<struct<start:long,length:long,score:double>>"
+    return keyed(docs).mapInArrow(
+        _score(model), "doc_id long, key long, tie int, score double, n_sentences long, offending array<struct<start:long,length:long,score:double>>"
     )
 
 
