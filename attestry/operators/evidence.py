@@ -13,12 +13,14 @@ from attestry.functions import secrets, text
 from attestry.operators.shape import top_k
 
 TITLE_MAX = 180
-EXCERPT_MAX = 2400
 
 
 def normalise(df: DataFrame, titles: list[str], bodies: list[str], times: list[str]) -> DataFrame:
-    """Add ``title``, ``excerpt``, ``authority``, ``event_time`` and ``unsafe`` from candidate columns."""
-    raw = text.clean(F.coalesce(text.first_text(*map(F.col, bodies)), F.lit("")), EXCERPT_MAX)
+    """Add ``title``, ``excerpt``, ``authority``, ``event_time`` and ``unsafe`` from candidate columns.
+
+    Bodies are kept, screened and redacted whole; only the title has a length.
+    """
+    raw = text.clean(F.coalesce(text.first_text(*map(F.col, bodies)), F.lit("")))
     lead = F.split(raw, r"[.!?]\s", 2)[0]
     named = [F.col(c) for c in titles]
     title = text.clean(F.coalesce(text.first_text(*named), lead) if named else lead, TITLE_MAX)

@@ -123,7 +123,13 @@ def why_above_next(ranked: DataFrame) -> DataFrame:
         F.when(
             F.col("score_delta") == 0,
             "Both items score identically under this policy; the tie is broken by identifier.",
-        ).otherwise("Leads.").alias("summary"),
+        ).otherwise(
+            F.concat(
+                F.lit("Leads by "),
+                F.regexp_replace(F.abs("score_delta").cast("decimal(12,2)").cast("string"), r"\.?0+$", ""),
+                F.lit(" points."),
+            )
+        ).alias("summary"),
     )
 
 

@@ -41,11 +41,11 @@ def content_dedup(spark, folder):
 @query(
     "evidence_dedup",
     f"""SELECT min(doc_id) AS doc_id, source, doc_id % 50 AS external_id FROM documents
-    GROUP BY source, doc_id % 50, left({clean_sql('lower(text)')}, 360)""",
+    GROUP BY source, doc_id % 50, sha256({clean_sql('lower(text)')})""",
 )
 def evidence_dedup(spark, folder):
     docs = spread(table(spark, folder, "documents")).select(
-        "doc_id", "source", (F.col("doc_id") % 50).alias("external_id"), text.clean(F.lower("text"), 360).alias("span")
+        "doc_id", "source", (F.col("doc_id") % 50).alias("external_id"), F.sha2(text.clean(F.lower("text")), 256).alias("span")
     )
     return cluster.first_wins(docs, ["source", "external_id", "span"], "doc_id").select("doc_id", "source", "external_id")
 

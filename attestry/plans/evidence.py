@@ -185,9 +185,9 @@ def snapshot_list(spark, folder):
 @query(
     "evidence_normalise",
     f"""WITH n AS (
-      SELECT concat('doc-', doc_id) AS rid, NULL AS name, {clean_sql('text', 2400)} AS raw, lower(source) AS provider, CAST(NULL AS VARCHAR) AS stamp FROM documents
+      SELECT concat('doc-', doc_id) AS rid, NULL AS name, {clean_sql('text')} AS raw, lower(source) AS provider, CAST(NULL AS VARCHAR) AS stamp FROM documents
       UNION ALL SELECT concat('conv-', conv_id, '-', turn), CASE WHEN turn % 2 = 0 THEN concat('  ', role, ' turn ') ELSE ' ' END,
-        {clean_sql('text', 2400)}, lower(role), CASE WHEN turn % 3 = 0 THEN '2024-01-05 10:00:00' ELSE 'soon' END FROM conversations)
+        {clean_sql('text')}, lower(role), CASE WHEN turn % 3 = 0 THEN '2024-01-05 10:00:00' ELSE 'soon' END FROM conversations)
     SELECT rid, {redact_sql(clean_sql("coalesce(nullif(trim(name), ''), regexp_split_to_array(raw, '[.!?]\\s')[1])", 180))} AS title,
       {redact_sql('raw')} AS excerpt, 'primary' AS authority, epoch(try_cast(stamp AS TIMESTAMP)) AS event_epoch,
       regexp_matches(raw, {quote(rules.INJECTION)}) AS unsafe, provider FROM n""",

@@ -247,7 +247,7 @@ _GAPS_SQL = ", ".join(
       FROM queue)
     SELECT workspace_id, rank, leader_id, runner_up_id, score_delta,
       array_to_string(list_transform(list_sort(list_filter([{_GAPS_SQL}], lambda g: g.size <> 0)), lambda g: g.txt), ';') AS components,
-      CASE WHEN score_delta = 0 THEN 'Both items score identically under this policy; the tie is broken by identifier.' ELSE 'Leads.' END AS summary
+      CASE WHEN score_delta = 0 THEN 'Both items score identically under this policy; the tie is broken by identifier.' ELSE concat('Leads by ', regexp_replace(CAST(CAST(abs(score_delta) AS DECIMAL(12, 2)) AS VARCHAR), '\\.?0+$', ''), ' points.') END AS summary
     FROM d WHERE runner_up_id IS NOT NULL""",
 )
 def why_above_next(spark, folder):
