@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry import rules
 from attestry.functions import text
@@ -43,6 +46,38 @@ def redact_map(col: Column, hidden: bool = False) -> Column:
     return F.map_filter(out, lambda k, v: ~k.isin(rules.HIDDEN_FIELDS)) if hidden else out
 
 
+def redact_deep(value: Column, kind: T.DataType, name: str = "") -> Column:
+    """Redact structs, arrays and maps to any depth; values under a sensitive name become one marker string.
+
+    Map values keep their type, so a sensitive key over values that are not strings gives null.
+    """
+    marker = F.lit("[REDACTED]")
+    if name and is_sensitive(name):
+        return F.when(value.isNotNull(), marker)
+    if isinstance(kind, T.StringType):
+        return redact(value)
+    if isinstance(kind, T.StructType):
+        parts = [redact_deep(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: redact_deep(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        hidden = marker if isinstance(kind.valueType, T.StringType) else F.lit(None)
+        return F.transform_values(
+            value, lambda k, v: F.when(sensitive_field(k) & v.isNotNull(), hidden).otherwise(redact_deep(v, kind.valueType))
+        )
+    return value
+
+
+def is_sensitive(name: str) -> bool:
+    """``sensitive_field`` for a name that is known while the plan is built."""
+    compact = re.sub("[^a-z0-9]", "", name.lower())
+    return (
+        compact in rules.SENSITIVE_FIELDS or re.search(rules.SENSITIVE_VENDOR_FIELD, compact) is not None
+        or re.search(rules.SENSITIVE_FIELD_SUFFIX, name) is not None
+    )
+
+
 def injected(col: Column) -> Column:
     return text.matches(col, rules.INJECTION)
 
@@ -61,9 +96,9 @@ def safe_cell(col: Column) -> Column:
     return F.when(col.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), col)).otherwise(col)
 
 
-def public_alias(prefix: str, workspace: Column, kind: str, value: Column) -> Column:
+def public_alias(prefix: str, workspace: Column, kind: str | Column, value: Column) -> Column:
     """Stable public reference of a private id: salted by workspace, not reversible."""
     digest = F.sha2(
         F.concat_ws(":", F.lit(prefix), workspace.cast("string"), F.lit(kind), value.cast("string")), 256
     )
-    return F.concat(F.lit(f"public-{kind}-"), F.left(digest, F.lit(32)))
+    return F.concat(F.lit("public-"), F.lit(kind), F.lit("-"), F.left(digest, F.lit(32)))

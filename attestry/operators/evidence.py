@@ -103,32 +103,69 @@ def _omitted(name: str) -> bool:
 
 
 def public_projection(df: DataFrame, workspace: str, prefix: str = "public-reference") -> DataFrame:
-    """Schema-driven public view: private columns dropped, links nulled, ids replaced by aliases.
+    """Schema-driven public view: private fields dropped, links nulled, ids replaced by aliases.
 
-    The decision is taken once per column name, not per value, so Catalyst prunes the
-    dropped columns out of the scan.
+    Structs, arrays and maps are walked to any depth. The decision is taken once per field name,
+    not per value, so Catalyst prunes the dropped columns out of the scan; only the keys of maps
+    are data and are tested per row.
     """
-    out: list[Column] = []
-    for field in df.schema.fields:
-        key = _plain(field.name)
-        if _omitted(field.name):
-            continue
-        if key.endswith("url") or key in ("href", "permalink"):
-            out.append(F.lit(None).cast("string").alias(field.name))
-        elif key.endswith(("id", "ids")) or key in ("source", "target"):
-            kind = re.sub(r"ids?$", "", key) or "ref"
-            alias = lambda v, kind=kind: secrets.public_alias(prefix, F.col(workspace), kind, v)
-            if isinstance(field.dataType, T.ArrayType):
-                out.append(F.transform(F.col(field.name), alias).alias(field.name))
-            elif isinstance(field.dataType, T.StringType):
-                out.append(alias(F.col(field.name)).alias(field.name))
-            else:
-                out.append(F.col(field.name))
-        elif isinstance(field.dataType, T.StringType):
-            out.append(secrets.redact(F.col(field.name)).alias(field.name))
-        else:
-            out.append(F.col(field.name))
-    return df.select(*out)
+    owner = F.col(workspace)
+    seen = [(f.name, _public(F.col(f.name), f.dataType, f.name, owner, prefix)) for f in df.schema.fields]
+    return df.select(*[c.alias(name) for name, c in seen if c is not None])
+
+
+def _is_link(key: str) -> bool:
+    return key.endswith("url") or key in ("href", "permalink")
+
+
+def _public(value: Column, kind: T.DataType, name: str, owner: Column, prefix: str) -> Column | None:
+    """Public form of a value that stands under ``name`` ("" inside an array); None when it is left out."""
+    key = _plain(name)
+    if name and _omitted(name):
+        return None
+    if _is_link(key):
+        return F.lit(None).cast("string")
+    if key.endswith(("id", "ids")) or key in ("source", "target"):
+        what = re.sub(r"ids?$", "", key) or "ref"
+        alias = lambda v: secrets.public_alias(prefix, owner, what, v)
+        if isinstance(kind, T.StringType):
+            return alias(value)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            return F.transform(F.filter(value, lambda v: v.isNotNull()), alias)
+    if isinstance(kind, T.StringType):
+        return secrets.redact(value)
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, _public(value[f.name], f.dataType, f.name, owner, prefix)) for f in kind.fields]
+        shown = [c.alias(n) for n, c in parts if c is not None]
+        return F.when(value.isNotNull(), F.struct(*shown)) if shown else None
+    if isinstance(kind, T.ArrayType):
+        if _public(value, kind.elementType, "", owner, prefix) is None:
+            return None
+        return F.transform(value, lambda v: _public(v, kind.elementType, "", owner, prefix))
+    if isinstance(kind, T.MapType):
+        return _public_map(value, kind, owner, prefix)
+    return value
+
+
+def _public_map(value: Column, kind: T.MapType, owner: Column, prefix: str) -> Column | None:
+    plain = lambda k: F.regexp_replace(F.lower(k.cast("string")), "[^a-z0-9]", "")
+    text_value = isinstance(kind.valueType, T.StringType)
+    if not text_value and _public(F.lit(None), kind.valueType, "", owner, prefix) is None:
+        return None
+    shown = F.map_filter(value, lambda k, v: ~(plain(k).isin(*rules.OMITTED_KEYS) | F.contains(plain(k), F.lit("hash"))))
+
+    def one(k: Column, v: Column) -> Column:
+        safe = _public(v, kind.valueType, "", owner, prefix)
+        if not text_value:
+            return safe
+        key = plain(k)
+        what = F.coalesce(F.nullif(F.regexp_replace(key, "ids?$", ""), F.lit("")), F.lit("ref"))
+        alias = secrets.public_alias(prefix, owner, what, v)
+        return F.when(key.rlike("url$") | key.isin("href", "permalink"), F.lit(None).cast("string")).when(
+            key.rlike("ids?$") | key.isin("source", "target"), F.when(v.isNotNull(), alias)
+        ).otherwise(safe)
+
+    return F.transform_values(shown, one)
 
 
 def intact(df: DataFrame, payload: str, stored_hash: str, release: str, current: Column) -> DataFrame:

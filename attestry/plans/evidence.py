@@ -390,14 +390,26 @@ def metadata_scope_filter(spark, folder):
 @query(
     "public_projection",
     f"""WITH {RECORDS_CTE} SELECT concat('public-record-', left(sha256(concat('public-reference:', workspace_id, ':record:', record_id)), 32)) AS record_id,
-      CAST(NULL AS VARCHAR) AS url, provider, {redact_sql('title')} AS title, {redact_sql('excerpt')} AS excerpt FROM records""",
+      CAST(NULL AS VARCHAR) AS url, provider, {redact_sql('title')} AS title, {redact_sql('excerpt')} AS excerpt,
+      {redact_sql('title')} AS inner_note, concat('public-chunk-', left(sha256(concat('public-reference:', workspace_id, ':chunk:', external_id)), 32)) AS inner_chunk,
+      'chunkid,label,notes' AS inner_keys, {redact_sql('excerpt')} AS first_line FROM records""",
 )
 def public_projection(spark, folder):
     rec = records(spark, folder).select(
         "workspace_id", "record_id", "external_id", "url", "provider", "title", "excerpt",
         F.sha2("excerpt", 256).alias("content_hash"),
+        F.struct(
+            F.col("title").alias("note"), F.sha2("title", 256).alias("row_hash"),
+            F.create_map(F.lit("chunkId"), F.col("external_id"), F.lit("payload_hash"), F.lit("x"), F.lit("label"), F.col("title"), F.lit("notes"), F.col("excerpt")).alias("labels"),
+            F.array(F.struct(F.col("excerpt").alias("line"), F.col("url").alias("link_url"))).alias("lines"),
+        ).alias("inner"),
+    )
+    shown = evidence.public_projection(rec, "workspace_id")
+    keys = F.array_join(F.array_sort(F.map_keys("inner.labels")), ",")
+    return shown.select(
+        "record_id", "url", "provider", "title", "excerpt", F.col("inner.note").alias("inner_note"),
+        F.col("inner.labels")["chunkId"].alias("inner_chunk"), F.lower(keys).alias("inner_keys"), F.col("inner.lines")[0]["line"].alias("first_line"),
     )
-    return evidence.public_projection(rec, "workspace_id")
 
 
 @query(

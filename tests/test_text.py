@@ -65,3 +65,24 @@ def test_windows_snap_to_sentences(spark):
     assert textjobs._context(body, body.index("billing"), 7, 60) == "First part is here. The billing desk answers."
     long = "word " * 200
     assert len(textjobs._context(long, 500, 4, 420)) <= 420
+
+
+def test_projection_and_redaction_reach_nested_values(spark):
+    from pyspark.sql import functions as F
+
+    from attestry.functions import secrets
+    from attestry.operators import evidence
+
+    df = spark.sql(
+        """SELECT 'w' AS workspace, array('Bearer abcdefghijklmnop1234', NULL) AS notes, map('apiKey', 'v1', 'rowHash', 'h', 'pageUrl', 'u', 'chunkId', 'c') AS extra,
+        named_struct('apiKey', 'v2', 'inner', array(named_struct('content_hash', 'h', 'sourceIds', array('a', NULL), 'link_url', 'u', 'n', 1))) AS nested, CAST(NULL AS STRUCT<a: STRING>) AS none"""
+    )
+    shown = evidence.public_projection(df, "workspace").collect()[0].asDict(recursive=True)
+    assert "[REDACTED]" in shown["notes"][0] and shown["notes"][1] is None and shown["none"] is None
+    assert "rowHash" not in shown["extra"] and shown["extra"]["pageUrl"] is None and shown["extra"]["chunkId"].startswith("public-chunk-")
+    inner = shown["nested"]["inner"][0]
+    assert set(inner) == {"sourceIds", "link_url", "n"} and inner["link_url"] is None
+    assert len(inner["sourceIds"]) == 1 and inner["sourceIds"][0].startswith("public-source-")
+    cols = [secrets.redact_deep(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields]
+    deep = df.select(*cols).collect()[0].asDict(recursive=True)
+    assert deep["extra"]["apiKey"] == "[REDACTED]" and deep["nested"]["apiKey"] == "[REDACTED]" and "[REDACTED]" in deep["notes"][0]
