@@ -43,3 +43,18 @@ def test_short_and_long_passages_are_grounded(spark):
     passages = spark.createDataFrame([(1, "beta gamma delta"), (2, "alpha"), (3, "gamma alpha beta")], ["item_id", "passage"])
     got = {r.item_id: r.n_documents for r in evaluate.grounding(passages, docs).collect()}
     assert got == {1: 2, 2: 2, 3: 0}
+
+
+def test_search_ranks_boosts_exactly(spark):
+    from attestry.operators import asking
+
+    schema = "query_id long, body string, bias double, named array<string>, identifier string"
+    docs = [(i, "mail" if i else "chat", f"word{i} about ENG-7" if i in (0, 5) else f"word{i}", f"2024-01-{i + 1:02d}") for i in range(10)]
+    documents = spark.createDataFrame(docs, "doc_id long, provider string, body string, day string").selectExpr("doc_id", "provider", "body", "cast(day as date) AS day")
+    queries = spark.createDataFrame(
+        [(1, "nothing shared", 0.0, ["mail"], None), (2, "nothing shared", 0.0, ["chat"], "eng-7"), (3, "nothing shared", 0.3, [], None)], schema
+    )
+    got = {}
+    for r in sorted(asking.tfidf_topk(queries, documents, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {1: [1, 2, 3], 2: [0, 5], 3: [9, 8, 7]}
