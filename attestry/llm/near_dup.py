@@ -10,7 +10,7 @@ shingle sets are folded first. Within a band only the member that shares most ba
 (the hub) is paired with all; the links found that way give first components. Texts whose bands
 still hold several components get a longer signature with longer, more bands, which texts well
 below the threshold rarely share, and there every member outside a band's largest component
-is paired with the members of other components, unless one-bit sketches of the signatures differ by
+is paired with the members of other components, unless two-bit sketches of the signatures differ by
 four standard deviations more than at the threshold. So no group is expanded into all its pairs and
 no link between components is left out. Every pair is confirmed on the full shingle sets. The bands of
 both rounds are chosen so that a pair at the threshold shares none about once in 10^5.
@@ -51,8 +51,8 @@ class Bands:
         return max(1, int(math.log(self.chance) / math.log(min(percent, 99) / 100)))
 
     def apart(self, percent: int) -> int:
-        """Sketch bits in which a pair at the threshold differs, plus four standard deviations."""
-        odds = (1 - percent / 100) / 2
+        """Sketched slots in which a pair at the threshold differs, plus four standard deviations."""
+        odds = (1 - percent / 100) * 3 / 4
         return math.ceil(self.slots * odds + 4 * math.sqrt(self.slots * odds * (1 - odds)))
 
 
@@ -110,9 +110,10 @@ def _sign(percent: int, plan: Bands):
     salt = mixed(np.arange(plan.count, dtype=np.uint64) + np.uint64(77))
 
     def keys(sets: list[np.ndarray]) -> np.ndarray:
-        """Per set one bit of each slot (the sketch), then the band keys."""
+        """Per set two bits of each slot (the sketch), then the band keys."""
         signature = super_minhash(sets, plan.slots)
-        sketch = np.packbits((signature & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+        halves = [np.packbits((signature & np.uint64(bit)).astype(bool), axis=1).view(np.int64) for bit in (1, 2)]
+        sketch = np.concatenate(halves, axis=1)
         out = np.broadcast_to(salt, (len(sets), plan.count)).copy()
         for r in range(rows):
             out = mixed(out ^ (signature[:, subsets[:, r]] * np.uint64(0x9E3779B97F4A7C15)))
@@ -131,7 +132,7 @@ def _sign(percent: int, plan: Bands):
                 if s is None or total * plan.slots > CHUNK * WIDE.slots:
                     if part:
                         for j, row in zip(part, keys([sets[j] for j in part])):
-                            sketches[j], bands[j] = row[: plan.slots // 64], row[plan.slots // 64 :]
+                            sketches[j], bands[j] = row[: plan.slots // 32], row[plan.slots // 32 :]
                     part, total = [], 0
                 if s is not None and len(s):
                     part.append(i)
@@ -227,12 +228,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     main = shelf.keep(
         held.agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
     )
-    parts = [F.col("sketch")[i].alias(f"s{i}") for i in range(LONG.slots // 64)]
+    words = LONG.slots // 64
+    parts = [F.col("sketch")[i].alias(f"s{i}") for i in range(2 * words)]
     sketches = longer.select(F.col("key").alias("node"), *parts)
     sided = shelf.keep(within.join(main.hint("shuffle_hash"), "band").join(broadcast_if_small(sketches), "node"))
     left = sided.where("component <> main")
     right = sided.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_c"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(len(parts))])
-    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, len(parts))), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    unlike = [F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}")) for i in range(2 * words)]
+    differ = sum((F.bit_count(unlike[i].bitwiseOR(unlike[i + words])) for i in range(words)), F.lit(0))
     near_size = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
     once = (F.col("other_c") == F.col("main")) | (F.col("node") < F.col("other"))
     rest = (
