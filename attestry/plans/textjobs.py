@@ -128,7 +128,29 @@ pairs AS (SELECT DISTINCT w.workspace_id, question_id, question, record_id, prov
   FROM wanted w JOIN named n ON n.workspace_id = w.workspace_id AND n.identifier = w.identifier)"""
 
 
-@query("focus_windows")
+def _window_sql() -> str:
+    """Windows of the pairs; excerpts are no longer than a window, so nothing is cut inside a sentence."""
+    most = rules.CONTEXT_MAX
+    tokens = f"list_filter({stem_tokens_sql('question')}, lambda w: length(w) >= 4 AND w NOT IN ({sql_list(rules.GENERIC_QUESTION_TOKENS)}))"
+    named = f"list_transform(regexp_extract_all(question, {quote(rules.RECORD_ID)}), lambda i: lower(i))"
+    full_stop = lambda name: f"concat({name}, CASE WHEN length({name}) < length(after) THEN '.' ELSE '' END)"
+    return f"""WITH {PAIRS_CTE},
+    anchored AS (SELECT question_id, record_id, excerpt, lower(excerpt) AS low, list_concat({named}, {tokens}) AS every FROM pairs),
+    each AS (SELECT question_id, record_id, excerpt, low, unnest(every) AS anchor, generate_subscripts(every, 1) AS n FROM anchored),
+    firsts AS (SELECT question_id, record_id, excerpt, low, anchor, min(n) AS n, instr(low, anchor) AS pos FROM each GROUP BY 1, 2, 3, 4, 5),
+    seconds AS (SELECT *, instr(substr(low, pos + length(anchor)), anchor) AS step FROM firsts WHERE pos > 0),
+    hits AS (SELECT question_id, record_id, excerpt, anchor, n, pos FROM seconds
+      UNION ALL SELECT question_id, record_id, excerpt, anchor, n, pos + length(anchor) - 1 + step FROM seconds WHERE step > 0),
+    parts AS (SELECT question_id, record_id, n, pos, substr(excerpt, pos, length(anchor)) AS hit,
+      string_split(substr(excerpt, 1, pos - 1), '. ') AS b, substr(excerpt, pos + length(anchor)) AS after FROM hits),
+    runs AS (SELECT *, b[-1] AS left1, array_to_string(b[-2:], '. ') AS left2, string_split(after, '. ')[1] AS r1, array_to_string(string_split(after, '. ')[1:2], '. ') AS r2 FROM parts),
+    stops AS (SELECT *, {full_stop('r1')} AS right1, {full_stop('r2')} AS right2 FROM runs),
+    lefts AS (SELECT *, CASE WHEN length(left2) + length(hit) + length(right1) <= {most} THEN left2 ELSE left1 END AS l FROM stops),
+    whole AS (SELECT *, concat(l, hit, CASE WHEN length(l) + length(hit) + length(right2) <= {most} THEN right2 ELSE right1 END) AS w FROM lefts)
+    SELECT question_id, record_id, row_number() OVER (PARTITION BY question_id, record_id ORDER BY n, pos) - 1 AS ordinal, {clean_sql('w')} AS window_text FROM whole"""
+
+
+@query("focus_windows", _window_sql())
 def focus_windows(spark, folder):
     rows = pairs(spark, folder).withColumn("body", F.col("excerpt"))
     return textjobs.focus_windows(rows, ["question_id", "record_id"])

@@ -23,6 +23,41 @@ def test_claims_do_not_repeat_and_cover_facets(spark):
     assert [r.claim for r in got] == ["Atlas ships once BUG-123 is fixed.", "The owner is Priya Raman."]
 
 
+def _picked(spark, rows):
+    """Claims picked from (question, record, provider, claim, relevance, score) rows of one question."""
+    names = ["question_id", "question", "record_id", "provider", "rank", "ordinal", "claim", "sentence_score", "bridge",
+             "authority_linked", "authority_active", "value_phrase", "score"]
+    full = [("q", q, rec, prov, i + 1, 0, claim, rel, 0, False, False, phrase, score) for i, (q, rec, prov, claim, rel, phrase, score) in enumerate(rows)]
+    return [r.record_id for r in answering.select_claims(spark.createDataFrame(full, names)).orderBy("claim_no").collect()]
+
+
+def test_claims_spread_over_providers_before_they_repeat_one(spark):
+    q = "What blocks the launch?"
+    rows = [
+        (q, "a", "mail", "Vendor paperwork blocks launch.", 20, "", 30.0), (q, "b", "mail", "Budget approval pending.", 19, "", 29.0),
+        (q, "c", "chat", "Legal review outstanding.", 18, "", 28.0),
+    ]
+    assert _picked(spark, rows) == ["a", "c"]
+
+
+def test_claims_below_the_floor_or_saying_the_same_are_left_out(spark):
+    q = "What blocks the launch?"
+    long = "The vendor paperwork for region nine blocks the launch"
+    rows = [
+        (q, "a", "mail", long + " until Tuesday.", 20, "", 30.0), (q, "b", "chat", long, 20, "", 29.0),
+        (q, "c", "docs", "Paperwork vendor region.", 20, "", 28.0), (q, "d", "code", "Unrelated remark entirely.", 20, "", 8.0),
+        (q, "e", "code", "Budget approval pending.", 7, "", 20.0), (q, "f", "desk", "Budget is nine.", 20, "nine", 19.0), (q, "g", "wiki", "Nine exactly.", 20, "nine", 18.0),
+    ]
+    # e is not relevant enough beside a, f brings a value, g repeats it, d is below three tenths of the best
+    assert _picked(spark, rows) == ["a", "f"]
+
+
+def test_two_claims_are_given_where_only_one_is_useful(spark):
+    q = "What blocks the launch?"
+    rows = [(q, "a", "mail", "Vendor paperwork blocks launch.", 20, "", 30.0), (q, "b", "mail", "Budget approval pending.", 1, "", 20.0), (q, "c", "mail", "Legal review outstanding.", 1, "", 10.0)]
+    assert _picked(spark, rows) == ["a", "b", "c"]
+
+
 def test_hash_ignores_absent_fields_and_key_order(spark):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     h = lambda f: df.select(answering.receipt_hash(f).alias("h")).collect()[0].h

@@ -62,9 +62,11 @@ def test_anchors(spark):
 
 def test_windows_snap_to_sentences(spark):
     body = "First part is here. The billing desk answers. Last part ends."
-    assert textjobs._context(body, body.index("billing"), 7, 60) == "First part is here. The billing desk answers."
-    long = "word " * 200
-    assert len(textjobs._context(long, 500, 4, 420)) <= 420
+    df = spark.createDataFrame([(body, ["billing"])], ["body", "anchors"])
+    assert df.select(textjobs.windows(F.col("body"), F.col("anchors"), 60).alias("w")).collect()[0].w == ["First part is here. The billing desk answers."]
+    long = spark.createDataFrame([("word " * 100 + "mark " + "word " * 99, ["mark"])], ["body", "anchors"])
+    cut = long.select(textjobs.windows(F.col("body"), F.col("anchors")).alias("w")).collect()[0].w[0]
+    assert len(cut) <= 420 and " mark " in cut
 
 
 def test_projection_and_redaction_reach_nested_values(spark):
@@ -86,3 +88,26 @@ def test_projection_and_redaction_reach_nested_values(spark):
     cols = [secrets.redact_deep(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields]
     deep = df.select(*cols).collect()[0].asDict(recursive=True)
     assert deep["extra"]["apiKey"] == "[REDACTED]" and deep["nested"]["apiKey"] == "[REDACTED]" and "[REDACTED]" in deep["notes"][0]
+
+
+def test_windows_snap_to_sentences_and_cut_long_ones_at_words(spark):
+    rows = [
+        ("Alpha one. Beta two. Gamma hit three. Delta four. Omega five.", ["hit"], 420),
+        ("Alpha one. Beta two. Gamma hit three. Delta four. Omega five.", ["hit"], 30),
+        ("a hit and a HIT and a hit", ["hit", "none"], 420),
+        ("word " * 40 + "needle" + " more" * 40, ["needle"], 40),
+        ("", ["hit"], 420),
+        ("text", [], 420),
+    ]
+    got = []
+    for body, anchors, limit in rows:
+        df = spark.createDataFrame([(body, anchors)], "body string, anchors array<string>")
+        got.append(df.select(textjobs.windows(F.col("body"), F.col("anchors"), limit).alias("w")).collect()[0].w)
+    assert got == [
+        ["Beta two. Gamma hit three. Delta four."],
+        ["Beta two. Gamma hit three."],
+        ["a hit and a HIT and a hit"] * 2,
+        ["word word word needle more more"],
+        [],
+        [],
+    ]
