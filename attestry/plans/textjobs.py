@@ -179,7 +179,7 @@ _SCORE = f"4 * len(regexp_extract_all(s, {quote(rules.TASK_ID)}))" + "".join(
 _SEGMENTS = (
     r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(body, '\r?\n+', chr(1), 'g'), "
     r"'([.!?])\s+', '\1' || chr(1), 'g'), '\s+([*-]\s+)', chr(1) || '\1', 'g'), chr(1)), "
-    + f"lambda x: {clean_sql('x', 1200)}), lambda x: x <> '')"
+    + f"lambda x: {clean_sql('x')}), lambda x: x <> '')"
 )
 
 
