@@ -63,26 +63,9 @@ def _words(values: list[str]) -> Column:
     return text.literal_array(values)
 
 
-NON_TOPICAL = [
-    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
-    "december", "open", "closed", "merged", "shipped", "released", "resolved", "latest", "newest", "recent", "still",
-    "remains", "showing", "source", "sources", "says", "said", "tracked", "issue", "deadline", "promise", "promised",
-    "commitment", "committed",
-]
-STATE_TOKENS = [
-    "active", "approved", "blocked", "cancelled", "canceled", "closed", "complete", "completed", "disabled", "enabled",
-    "failed", "fixed", "merged", "open", "pending", "rejected", "resolved", "shipped",
-]
-CONFLICT_STOP = [
-    "according", "cited", "claim", "claims", "contain", "contains", "date", "dates", "deadline", "different", "disagree",
-    "disagrees", "evidence", "record", "records", "report", "reports", "said", "says", "source", "sources", "state",
-    "states", "while", "with",
-]
-
-
 def topical(phrase: Column) -> Column:
     words = F.split(phrase, " ")
-    plain = _words(NON_TOPICAL)
+    plain = _words(rules.NON_TOPICAL)
     return F.exists(words, lambda w: w.rlike(r"\p{L}") & (F.length(w) >= 3) & ~F.array_contains(plain, w))
 
 
@@ -207,7 +190,7 @@ def supported_contradictions(
     clauses = _pieces(F.col("summary"), r"(?i)(?<!\w)(?:but|however|whereas|while)(?!\w)|[;.!?]+")
     named = F.filter(clauses, lambda x: F.array_contains(F.split(x, " "), F.col("n_provider")))
     words = F.array_distinct(F.flatten(F.transform(named, lambda x: F.split(x, " "))))
-    stop, states, plain = _words(CONFLICT_STOP), _words(STATE_TOKENS), _words(NON_TOPICAL)
+    stop, states, plain = _words(rules.CONFLICT_STOP), _words(rules.STATE_TOKENS), _words(rules.NON_TOPICAL)
     anchor_words = F.flatten(F.transform("anchors", lambda a: F.split(a, " ")))
     meaningful = F.filter(
         words,
