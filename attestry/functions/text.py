@@ -133,8 +133,7 @@ def compatibility_form(values: pd.Series) -> pd.Series:
 
 def claim_key(col: Column) -> Column:
     marks = F.regexp_replace(F.lower(col), r"[#*_`>]", " ")
-    words = F.trim(F.regexp_replace(marks, r"[^a-z0-9]+", " "))
-    return F.trim(F.left(words, F.lit(140)))
+    return F.trim(F.regexp_replace(marks, r"[^a-z0-9]+", " "))
 
 
 def count_true(flags: list[Column]) -> Column:
