@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -125,6 +126,42 @@ def test_decontamination_tolerates_substitutions(spark, docs):
     assert bad == {1001: (2, [1])}
 
 
+def test_seeds_meet_every_overlap_of_the_rule():
+    for width in range(1, 16):
+        for percent in (60, 80, 90, 100):
+            masks, gone = decontaminate.masks_for(width, percent), decontaminate.lost(width, percent)
+            places = [sum(1 << (s + o) for o in m) for m in masks for s in range(width - m[-1])]
+            for lost in itertools.combinations(range(width), gone):
+                bits = sum(1 << i for i in lost)
+                assert any(not p & bits for p in places), (width, percent, lost)
+
+
+def test_decontamination_misses_no_pattern_and_no_short_item(spark):
+    fresh = itertools.count()
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in (1, 2, 4, 5, 8, 9, 10, 12, 14, 15, 40, 59)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    texts, expected = [], []
+
+    def add(n, changed, bad):
+        words = [f"x{next(fresh)}" if j in changed else w for j, w in enumerate(items[n])]
+        texts.append((len(texts), " ".join(["pad", *words, "pad"])))
+        expected.append([n] if bad else [])
+
+    for n in items:
+        few = min(n, 15) // 5
+        add(n, set(), True)
+        add(n, set(range(0, n, 3)), False)
+        for first in range(n if 5 <= n < 15 else 0):
+            add(n, {(first + 5 * j) % n for j in range(few)}, True)
+    add(40, set(range(3, 40, 4)), True)
+    add(59, set(range(3, 59, 4)), True)
+    for lost in itertools.combinations(range(15), 3):
+        add(15, set(lost), True)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_mixing_meets_targets(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
