@@ -1,7 +1,8 @@
 """Secret scanning with a random forest against false positives.
 
-A candidate is a run of at least sixteen characters of a key's alphabet that holds a digit. The
-forest sees its length, how often its characters change class, its mix of classes, how much of its
+A candidate is a run of at least sixteen characters of a key's alphabet, or a value of any length
+and alphabet that a rule of ``rules.SECRET_RULES`` finds (assigned, bearer, in a URL, of a vendor);
+both are candidates where they differ. The forest sees its length, how often its characters change class, its mix of classes, how much of its
 letter runs is in the corpus's own dictionary, the path of its document, and the words beside
 it. It is trained on labelled findings and scores every candidate; low scores are false
 positives. Everything is DataFrame functions and Spark's own forest.
@@ -17,12 +18,17 @@ places, and in repeated rows, are findings of their own.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry import rules
+from attestry.functions import text
 from attestry.llm.common import WORD, Shelf, keyed
 from attestry.session import broadcast_if_small
 
@@ -35,6 +41,21 @@ FEATURES = [
 ]
 
 
+def _values() -> list[tuple[str, int]]:
+    """``(pattern, group)`` of each secret rule: the group is the value, which stands in the last word of the text searched."""
+    out = []
+    for _, pattern, put in rules.SECRET_RULES:
+        flags, body = re.fullmatch(r"(\(\?i\))?(.*)", pattern, re.DOTALL).groups()
+        flags, prefix = flags or "", 0
+        if put.startswith("$1"):
+            depth = [body[: i + 1].count("(") - body[: i + 1].count(")") for i in range(len(body))]
+            prefix = depth.index(0) + 1
+        rest = body.rindex("(", prefix) if "$2" in put else len(body)
+        value = f"{flags}{body[:prefix]}({body[prefix:rest]}){body[rest:]}" + r"(?=[^\x20\x09-\x0D]*\z)"
+        out.append((text.pattern(value), 2 if prefix else 1))
+    return out
+
+
 def _share(column: str, pattern: str) -> Column:
     return F.regexp_count(F.col(column), F.lit(pattern)) / F.length(column)
 
@@ -44,22 +65,34 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     with_path = docs.select(
         "doc_id", "text", F.coalesce(F.col(path).cast("string") if path in docs.columns else F.lit(None), F.lit("")).alias("path")
     )
-    base = with_path.where(F.col("text").rlike(CANDIDATE)).select(F.struct("path").alias("kept"), "doc_id", "text")
+    body = F.col("text").cast("string")
+    none = F.array().cast("array<string>")
+    ruled = reduce(lambda x, y: x | y, [body.rlike(text.pattern(pattern)) for _, pattern, _ in rules.SECRET_RULES])
+    base = with_path.select(F.struct("path").alias("kept"), "doc_id", "text", F.coalesce(ruled, F.lit(False)).alias("ruled"))
+    base = base.where(F.col("ruled") | body.rlike(CANDIDATE))
     words = base.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "kept.path", F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"({WORD})"), F.lit(1)).alias("words")
+        F.col("doc_id").cast("long").alias("doc_id"), "kept.path", "ruled", F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)).alias("words")
     )
-    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: s["word"].rlike(r"[A-Za-z+/_-]*[0-9]") & s["word"].rlike(CANDIDATE))
-    each = words.select("doc_id", "path", "words", F.explode(found).alias("f"))
+
+    def tokens(word: Column, at: Column) -> Column:
+        # A rule's name, sign and value are at most three words.
+        near = F.concat_ws(" ", F.get("words", at - 2), F.get("words", at - 1), word)
+        runs = F.when(word.rlike(CANDIDATE), F.regexp_extract_all(word, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(none)
+        values = F.when(F.col("ruled"), F.concat(*[F.regexp_extract_all(near, F.lit(v), F.lit(g)) for v, g in _values()])).otherwise(none)
+        return F.concat(runs, F.array_except(values, runs))
+
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"), tokens(w, i).alias("tokens")))
+    each = words.select("doc_id", "path", "words", F.explode(F.filter(placed, lambda s: F.size(s["tokens"]) > 0)).alias("f"))
     each = each.select(
-        "doc_id", "path", F.col("f.at").alias("at"), F.col("f.word").alias("word"),
+        "doc_id", "path", F.col("f.at").alias("at"), F.col("f.word").alias("word"), F.col("f.tokens").alias("tokens"),
         F.coalesce(F.get("words", F.col("f.at") - 1), F.lit("")).alias("before"), F.coalesce(F.get("words", F.col("f.at") - 2), F.lit("")).alias("before2"),
         F.coalesce(F.get("words", F.col("f.at") + 1), F.lit("")).alias("after"),
     )
-    several = F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1))
-    each = each.select("*", F.posexplode(several).alias("nth", "token")).where(F.col("token").rlike("[0-9]"))
-    head = F.element_at(F.split("word", F.concat(F.lit(r"\Q"), F.col("token"), F.lit(r"\E")), 2), 1)
-    tail = F.element_at(F.split("word", F.concat(F.lit(r"\Q"), F.col("token"), F.lit(r"\E")), 2), 2)
-    return each.withColumn("head", head).withColumn("tail", F.coalesce(tail, F.lit("")))
+    each = each.select("*", F.posexplode("tokens").alias("nth", "token")).drop("tokens")
+    place = F.position(F.col("token"), F.col("word"))
+    head = F.substring(F.col("word"), F.lit(1), place - 1)
+    tail = F.substring(F.col("word"), place + F.length("token"), F.length("word"))
+    return each.withColumn("head", head).withColumn("tail", tail)
 
 
 def dictionary(shelf: Shelf, docs: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
@@ -119,8 +152,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
 
 def weak_findings(rows: DataFrame) -> DataFrame:
     """Labels by known forms, where no reviewed findings exist: assignments to a telling name and vendor prefixes
-    are secrets, plain numbers and runs made of dictionary words are not; the rest stays unlabelled."""
+    are secrets, plain numbers and runs made of dictionary words are not (assigned ones neither, if they hold no digit);
+    the rest stays unlabelled."""
     known_form = F.col("token").rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-.+)$")
-    named = (F.col("named_here") + F.col("named_before") > 0) & (F.col("assigned") > 0)
+    named = (F.col("named_here") + F.col("named_before") > 0) & (F.col("assigned") > 0) & ((F.col("digits") > 0) | (F.col("known") <= 0.5))
     plain = F.col("token").rlike(r"^[0-9_/+-]+$") | (F.col("known") > 0.5) | (F.col("lowers") + F.col("symbols") > 0.9)
     return rows.select("row", F.when(known_form | named, 1).when(plain, 0).alias("label")).where("label is not null")

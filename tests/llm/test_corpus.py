@@ -299,6 +299,28 @@ def test_secret_forest_learns_from_findings(spark, docs):
     assert secret_forest.scan(docs).count() == 0
 
 
+def test_secret_candidates_of_any_length_and_alphabet(spark):
+    found = {
+        "login password=hunter2 now": ["hunter2"],
+        "api_key: Ab3dE9": ["Ab3dE9"],
+        "the token = 'pa.ss~w$rd@x', then": ["pa.ss~w$rd@x"],
+        "Authorization: Bearer ab.cd~ef": ["ab.cd~ef"],
+        "see https://me:s3cr.t@host/x": ["s3cr.t"],
+        "no digits QwErTyUiOpAsDfGhJk here": ["QwErTyUiOpAsDfGhJk"],
+        "secret=a\\Eb\\Qc password:x": ["a\\Eb\\Qc", "x"],
+        "token=abcd1234efgh5678ijkl.mn": ["abcd1234efgh5678ijkl", "abcd1234efgh5678ijkl.mn"],
+        "nothing to see": [],
+    }
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(found)], "doc_id long, text string, source string")
+    got = collections.defaultdict(list)
+    for r in secret_forest.candidates(docs).collect():
+        assert r.head + r.token + r.tail == r.word
+        got[r.doc_id].append(r.token)
+    assert [sorted(got[i]) for i in range(len(found))] == [sorted(v) for v in found.values()]
+    hashes = {hashlib.sha256(v.encode()).hexdigest() for values in found.values() for v in values}
+    assert {r.token_sha256 for r in secret_forest.scan(docs).collect()} == hashes
+
+
 def test_empty_tables(spark, none):
     assert substring.remove_repeats(none).count() == 0
     assert near_dup.near_duplicates(none).count() == 0
