@@ -46,3 +46,14 @@ def test_queue_does_not_depend_on_row_order(spark):
     a = [r.task_id for r in ranking.queue(df).orderBy("rank").collect()]
     b = [r.task_id for r in ranking.queue(df.orderBy(F.rand(3)).repartition(7)).orderBy("rank").collect()]
     assert a == b and len(a) == rules.QUEUE_SIZE
+
+
+def test_follow_up_reads_the_best_ranked_passages(spark, monkeypatch):
+    from attestry.plans import asking as plans
+
+    read = []
+    monkeypatch.setattr(plans.asking, "follow_up", lambda placed: read.append(placed) or placed)
+    plans.follow_up_query(spark, "/root/testdata/sf0.001")
+    got = {(r.question_id, r.place): r.passage for r in read[0].collect()}
+    ranked = plans.asking.rank_evidence(plans.feature_pairs(spark, "/root/testdata/sf0.001"))
+    assert got == {(r.question_id, r["rank"]): f"{r.title}. {r.excerpt}" for r in ranked.collect()}
