@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, extract, hamming, language, mixing, near_dup, secret_forest, sharding, substring, toxicity
+from attestry.llm import decontaminate, extract, hamming, language, mixing, near_dup, phrases, secret_forest, sharding, substring, toxicity
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
@@ -81,4 +81,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key", "tie")
 
 
+@_query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op11_phrases"] = phrases.SQL
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
