@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, extract, hamming, language, mixing, near_dup, phrases, secret_forest, sharding, substring, toxicity
+from attestry.llm import decontaminate, divergence, extract, hamming, language, mixing, near_dup, phrases, secret_forest, sharding, substring, toxicity
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
@@ -89,4 +89,12 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_phrases"] = phrases.SQL
 
 
+@_query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.SQL
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
