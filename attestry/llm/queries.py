@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, divergence, extract, hamming, language, mixing, near_dup, phrases, secret_forest, sharding, substring, toxicity
+from attestry.llm import decontaminate, divergence, extract, hamming, language, metric_join, mixing, near_dup, phrases, secret_forest, sharding, substring, toxicity
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
@@ -97,4 +97,12 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op12_source_divergence"] = divergence.SQL
 
 
+@_query
+def op13_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_embedding_neardup"] = metric_join.SQL
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
