@@ -11,9 +11,12 @@ like are not main text. Such pages are also set anew in other layouts with known
 labels, and their telling tags are hidden in a part of the training, so pages without those tags are
 read by their other features. At most ``max_pages`` labelled pages are used, the first by hash.
 
-Scripts, styles, templates, form controls and the head are markup, not blocks. Character
+Scripts, styles, templates, form controls, frames, drawings and the head are markup, not blocks; a tag that
+the page never ends is markup up to the end of the page. Training labels are read from the layouts made
+here alone, never from a page that comes in. A page is read in time proportional to its length: what its
+ancestors say of a block is counted as tags open and close, by the features the field knows. Character
 references are decoded, white space inside a block becomes one space, blocks are joined by an
-empty line. Null and empty pages give the empty text. Pages without any labelled page to learn from
+empty line. Null and empty pages give the empty text. Bytes that are not UTF-8 are read as U+FFFD; columns beyond page_id, url and html are not read. Pages without any labelled page to learn from
 keep the blocks of an untrained prior: long blocks outside navigation tags. Repeated rows are
 read one by one.
 """
@@ -23,6 +26,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,19 +39,21 @@ from attestry.llm.common import small_batches
 
 MAX_PAGES = 600
 MAX_BLOCKS = 150  # of a training page
+MAX_CHARS = 100_000  # of a training page
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|[^<]++|<(?![a-zA-Z/])|</(?![a-zA-Z])",
     re.S,
 )
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME = re.compile(r"[a-z]+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = set("script style template noscript svg math iframe textarea select button object head title".split())
+_SKIP = set("script style template svg iframe textarea select head title".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var br wbr img input".split()
+    "time tt u var br wbr img input math object".split()
 )
 _CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _NOISE = re.compile(
@@ -54,13 +61,15 @@ _NOISE = re.compile(
     r"subscribe|breadcrumb|pagination|widget|popup|modal|toolbar|copyright"
 )
 _AD = {"ad", "ads", "adv"}
+_SAYS = {"nav", "aside", "footer", "form", "button"}
+_NOISY_TAGS = {"tag:" + t for t in _SAYS}
 
 
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    leaf: str
+    found: frozenset[str]  # what the open tags say
     links: int
     inside: bool  # in a marked article
     noise: bool  # in a part that says it is something else
@@ -70,16 +79,35 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    names: tuple[str, ...] = ()
+    leaf: str = ""
+    found: tuple[str, ...] = ()
     inside: bool = False
     noise: bool = False
     told: int | None = None
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page with text, in page order."""
+def _tag_features(tag: str, names: list[str], known: Container[str] | None) -> tuple[str, ...]:
+    out = set()
+    if tag not in _INLINE and tag not in ("html", "body") and (known is None or tag in _SAYS or f"tag:{tag}" in known):
+        out.add("tag:" + tag)
+    for name in names:
+        if known is None or f"name:{name}" in known:
+            out.add("name:" + name)
+        out |= {"noise:" + hit for hit in _NOISE.findall(name)}
+        if name in _AD:
+            out.add("noise:ad")
+    return tuple(out)
+
+
+def blocks(page: str | None, known: Container[str] | None = None, layout: bool = False) -> list[Block]:
+    """Leaf blocks of a page with text, in page order.
+
+    ``known``: the features that are of use (all if None). ``layout``: the page was made here and carries labels.
+    """
     out: list[Block] = []
     stack: list[_Open] = [_Open("")]
+    tags: Counter[str] = Counter()
+    found: Counter[str] = Counter()
     text: list[str] = []
     links = 0
     page = page or ""
@@ -89,34 +117,55 @@ def blocks(page: str | None) -> list[Block]:
         words = " ".join(html.unescape("".join(text)).split())
         if words:
             top = stack[-1]
-            out.append(
-                Block(words, tuple(o.tag for o in stack[1:] if o.tag not in _INLINE), tuple(n for o in stack for n in o.names), links, top.inside, top.noise, top.told)
-            )
+            out.append(Block(words, top.leaf, frozenset(found), links, top.inside, top.noise, top.told))
         text.clear()
         links = 0
 
-    at = 0
+    def push(item: _Open) -> None:
+        stack.append(item)
+        tags[item.tag] += 1
+        found.update(item.found)
+
+    def pop() -> str:
+        item = stack.pop()
+        tags[item.tag] -= 1
+        for f in item.found:
+            found[f] -= 1
+            if not found[f]:
+                del found[f]
+        return item.tag
+
+    at, quotes = 0, True
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        m = _TOKEN.match(page, at) if quotes else None
+        if m is None and page[at] == "<":
+            # a quote that is never closed: from here on a tag ends at the next ">"
+            m = _SIMPLE.match(page, at)
+            quotes = quotes and m is None
+        m = m or _TOKEN.match(page, at)
         at = m.end()
         piece, tag = m.group(), m.group(2)
         if tag is None:
-            if not piece.startswith("<") or piece == "<":
+            if piece in ("<", "</") or not piece.startswith("<"):
                 text.append(piece)
-                if any(o.tag == "a" for o in stack):
+                if tags["a"]:
                     links += len(piece)
             elif piece.startswith("<![CDATA["):
                 text.append(html.escape(piece[9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag not in _INLINE:
-                flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag not in _INLINE or all(o.tag in _INLINE for o in stack[i:]):
-                        del stack[i:]
-                    break
+            if tag in _INLINE:
+                i = len(stack) - 1
+                while tags[tag] and i and stack[i].tag in _INLINE and stack[i].tag != tag:
+                    i -= 1
+                if i and stack[i].tag == tag:
+                    while pop() != tag:
+                        pass
+                continue
+            flush()
+            while tags[tag] and pop() != tag:
+                pass
             continue
         if tag in _SKIP:
             if not m.group(3).rstrip().endswith("/"):
@@ -131,24 +180,24 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
+        if tag in _CLOSES_P and tags["p"]:
+            i = len(stack) - 1
+            while i and stack[i].tag in _INLINE:
+                i -= 1
+            if stack[i].tag == "p":
+                while pop() != "p":
+                    pass
         if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and any(o.tag == tag for o in stack[-2:]):
-            while stack[-1].tag != tag:
-                stack.pop()
-            stack.pop()
+            while pop() != tag:
+                pass
         above = stack[-1]
         marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
-        names = tuple(_NAME.findall(" ".join(marks.get(k, "") for k in ("class", "id", "role"))))
+        names = _NAME.findall(" ".join(marks.get(k, "") for k in ("class", "id", "role")))
         marked = tag in ("article", "main") or marks.get("itemprop") == "articlebody" or marks.get("role") == "main"
-        says = tag in ("nav", "aside", "footer", "form") or bool(_NOISE.search(" ".join(names))) or bool(_AD & set(names))
-        told = int(marks["data-told"]) if "data-told" in marks else above.told
-        stack.append(_Open(tag, names, above.inside or marked, (above.noise or says) and not (marked and not above.inside), told))
+        says = tag in _SAYS or bool(_NOISE.search(" ".join(names))) or bool(_AD & set(names))
+        told = int(marks["data-told"]) if layout and "data-told" in marks else above.told
+        leaf = above.leaf if tag in _INLINE else tag
+        push(_Open(tag, leaf, _tag_features(tag, names, known), above.inside or marked, (above.noise or says) and not (marked and not above.inside), told))
     flush()
     return out
 
@@ -172,19 +221,10 @@ def features(page: list[Block], hide: frozenset[str] = frozenset()) -> list[set[
             found.add("first")
         if i >= len(page) - 2:
             found.add("last")
-        for t in b.tags:
-            if t not in hide and t not in ("html", "body"):
-                found.add("tag:" + t)
-        if b.tags:
-            found |= {f"leaf:{b.tags[-1]}", f"leaf:{b.tags[-1]}:{size}"}
-        for n in b.names:
-            if n not in hide:
-                found.add("name:" + n)
-                for hit in _NOISE.findall(n):
-                    found.add("noise:" + hit)
-                if n in _AD:
-                    found.add("noise:ad")
-        if any(f.startswith("noise:") for f in found) or {"nav", "aside", "footer", "form"} & set(b.tags):
+        found |= b.found - {kind + n for n in hide for kind in ("tag:", "name:")}
+        if b.leaf:
+            found |= {f"leaf:{b.leaf}", f"leaf:{b.leaf}:{size}"}
+        if any(f.startswith("noise:") or f in _NOISY_TAGS for f in found):
             found.add("noisy")
         own.append(found)
     for i in range(len(own)):
@@ -256,7 +296,7 @@ def train(pages: list[str], rounds: int = 200, seed: int = 3) -> Model:
             continue
         hide = frozenset({"article", "main"} if rng.random() < 0.5 else ())
         chains.append((features(parsed, hide), labels))
-        again = blocks(layouts([b.text for b, y in zip(parsed, labels) if y], [b.text for b, y in zip(parsed, labels) if not y], seed * 100_003 + i))
+        again = blocks(layouts([b.text for b, y in zip(parsed, labels) if y], [b.text for b, y in zip(parsed, labels) if not y], seed * 100_003 + i), layout=True)
         chains.append((features(again), _own_labels(again)))
     if not chains:
         return PRIOR
@@ -322,7 +362,7 @@ def viterbi(scores: list[float], step) -> list[int]:
 
 
 def main_text(model: Model, page: str | None) -> str:
-    parsed = blocks(page)
+    parsed = blocks(page, model.weights)
     if not parsed:
         return ""
     weight = model.weights.get
@@ -330,18 +370,27 @@ def main_text(model: Model, page: str | None) -> str:
     return "\n\n".join(b.text for b, y in zip(parsed, viterbi(scores, model.step)) if y)
 
 
-def fit(pages: DataFrame, labelled: Column | None = None, max_pages: int = MAX_PAGES) -> Model:
-    """A model of the pages that meet ``labelled`` (by default, those that mark their article)."""
+def fit(pages: DataFrame, labelled: Column | None = None, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> Model:
+    """A model of the pages that meet ``labelled`` (by default, those that mark their article).
+
+    The first ``max_pages`` different pages by hash are read, of those up to ``max_chars`` characters. Only
+    hashes are ranked; then those pages alone go to the driver, each once.
+    """
     marks = F.col("html").rlike(r"(?i)<(article|main)\b|itemprop=.?articleBody") if labelled is None else labelled
     rows = pages.where(F.col("html").isNotNull() & marks).select(F.col("html").cast("string").alias("html"))
-    sample = rows.orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
-    return train([r["html"] for r in sample])
+    rows = rows.where(F.length("html") <= max_chars).withColumn("h", F.xxhash64("html"))
+    last = [r.h for r in rows.select("h").distinct().orderBy("h").limit(max_pages).collect()]
+    if not last:
+        return train([])
+    sample = rows.where(F.col("h") <= last[-1]).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return train([r["html"] for r in sorted(sample, key=lambda r: r.h)])
 
 
 def _extract(model: Model):
     def run(batches):
         for batch in batches:
-            text = [main_text(model, h) for h in batch.column("html").to_pylist()]
+            pages = batch.column("html").cast(pa.binary()).to_pylist()
+            text = [main_text(model, None if p is None else p.decode("utf-8", "replace")) for p in pages]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )

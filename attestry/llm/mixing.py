@@ -4,14 +4,17 @@ Each source gets a share of all words by weight. A source's target stops at ``ma
 its own words; what it cannot take goes to the others by weight until none is above. In order of
 cap / weight the clamped sources are a prefix, so the level is found by running sums over one row per
 source. A document is then taken ``floor(target / words)`` times, and the fraction that is left
-is filled with whole documents in the order of a seeded hash: those that fit one after the
-other, then three times the largest further one that fits the gap.
+is filled with whole documents in the order of a seeded hash, each if it still fits. So what is
+missing at the end is less than the smallest document that was not filled in.
 
-The running sum over a source is made in hash ranges: sums of ranges first, single rows only in
-the range where the target is reached, so a hot source is never in one task.
+A pass takes the documents that fit one after the other, up to the first that does not; the next pass
+leaves out all that are larger than what is left, and so on until nothing fits. This takes the same
+documents as one walk along the hash would. The running sum of a pass is made in hash ranges: sums of
+ranges first, single rows only in the range where the target is reached, so a hot source is never in one
+task. The targets are computed in one task with one row for each source.
 
-Null texts have size 0, null is the last source, repeated rows are rows of their own (rows that
-agree in id and size may be filled in together). A source without words has target 0.
+Null texts have size 0; documents of size 0 always fit. Null is the last source, repeated rows are rows of
+their own. A source without words has target 0. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD, Shelf, identity
-from attestry.session import broadcast_if_small
-
-FILLS = 3
+from attestry.llm.common import WORD, Shelf, counted_broadcast, identity
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -54,56 +54,62 @@ def targets(sizes: DataFrame, weights: list[int], max_epochs: int) -> DataFrame:
     return filled.select("source", "source_size", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
+def _beside(df: DataFrame, by_source: DataFrame, how: str = "left") -> DataFrame:
+    """``df`` with the columns of a table that has one row for each source."""
+    names = [c for c in by_source.columns if c != "source"]
+    right = counted_broadcast(by_source.withColumnRenamed("source", "of"), 80)
+    return df.join(right, F.col("source").eqNullSafe(F.col("of")), how).select(*df.columns, *names)
+
+
+def _prefix(shelf: Shelf, rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """``rows`` (source, part, h, row, size) with ``picked``: in order of ``h``, those before the first that does not fit.
+
+    ``goals``: source, rest, used (words filled in so far).
+    """
+    ranges = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    ahead = F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = _beside(ranges.withColumn("ahead", F.coalesce(ahead, F.lit(0))), goals)
+    cut = shelf.keep(
+        starts.where("used + ahead <= rest").groupBy("source").agg(F.max("part").alias("cut_part"), (F.max("used") + F.max("ahead")).alias("before"))
+    )
+    placed = _beside(_beside(rows, goals.select("source", "rest")), cut)
+    upto = Window.partitionBy("source").orderBy("h", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = placed.where(F.col("part") == F.col("cut_part")).withColumn("picked", F.col("before") + F.sum("size").over(upto) <= F.col("rest"))
+    sure = placed.where(~F.col("part").eqNullSafe(F.col("cut_part"))).withColumn("picked", F.col("part") < F.coalesce("cut_part", F.lit(-1)))
+    return edge.unionByName(sure).select(*rows.columns, "picked")
+
+
 def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], max_epochs: int = 3, seed: int = 5) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, times, key, tie)``: ``times`` copies and ``taken`` words of each document."""
     shelf = Shelf(docs.sparkSession, "mixing")
-    rows = shelf.keep(sized(docs, seed))
-    ranges = shelf.keep(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
-    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    rows = shelf.keep(sized(docs, seed).withColumn("row", F.monotonically_increasing_id()))
+    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = shelf.keep(
         goals.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-
-    def with_goals(df: DataFrame, table: DataFrame) -> DataFrame:
-        names = [c for c in table.columns if c != "source"]
-        right = broadcast_if_small(table.withColumnRenamed("source", "of"))
-        return df.join(right, F.col("source").eqNullSafe(F.col("of")), "left").select(*df.columns, *names)
-
-    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("ahead", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    cut = with_goals(starts, goals.select("source", "rest")).where(F.col("ahead") <= F.col("rest")).groupBy("source").agg(
-        F.max("part").alias("cut_part"), F.max("ahead").alias("cut_ahead")
-    )
-    cut = shelf.keep(cut)
-    placed = with_goals(rows, goals).join(
-        broadcast_if_small(cut.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left"
-    ).drop("of")
-    edge = placed.where(F.col("part") == F.col("cut_part"))
-    upto = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("picked", F.col("cut_ahead") + F.sum("size").over(upto) <= F.col("rest"))
-    sure = placed.where(~F.col("part").eqNullSafe(F.col("cut_part"))).withColumn("picked", F.col("part") < F.coalesce("cut_part", F.lit(-1)))
-    chosen = shelf.keep(edge.unionByName(sure).drop("cut_part", "cut_ahead", "part"))
-
-    for _ in range(FILLS):
-        used = chosen.where("picked").groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("used"))
-        gap = goals.select("source", "rest").join(used, F.col("source").eqNullSafe(F.col("of")), "left")
-        gap = shelf.keep(gap.select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("gap")))
-        fitting = with_goals(chosen, gap).where("not picked and size > 0 and size <= gap")
-        best = shelf.keep(fitting.groupBy("source").agg(F.max("size").alias("best")))
-        first = shelf.keep(
-            with_goals(fitting, best).where("size = best").groupBy("source").agg(F.min("h").alias("fill_h"), F.first("best").alias("fill_size"))
-        )
-        also = (F.col("h") == F.col("fill_h")) & (F.col("size") == F.col("fill_size"))
-        chosen = shelf.keep(
-            with_goals(chosen, first).withColumn("picked", F.col("picked") | F.coalesce(also, F.lit(False))).drop("fill_h", "fill_size")
-        )
-    times = F.col("whole") + F.col("picked").cast("long")
-    return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "key", "tie")
+    state = goals.select("source", "rest", F.lit(0).cast("long").alias("used"))
+    left, filled = rows.where("size > 0").select("source", "part", "h", "row", "size"), None
+    while True:
+        fitting = _beside(left, state, "inner").where("used + size <= rest").select(*left.columns)
+        tried = shelf.keep(_prefix(shelf, fitting, state))
+        if not tried.limit(1).count():
+            break
+        took = tried.where("picked").groupBy("source").agg(F.sum("size").alias("took"))
+        state = shelf.keep(_beside(state, took).select("source", "rest", (F.col("used") + F.coalesce("took", F.lit(0))).alias("used")))
+        filled = tried.where("picked").select("row") if filled is None else filled.unionByName(tried.where("picked").select("row"))
+        left = tried.where("not picked").drop("picked")
+    named = _beside(rows, goals.select("source", "source_size", "target", "whole"))
+    if filled is None:
+        named = named.withColumn("fits", F.lit(False))
+    else:
+        named = named.join(counted_broadcast(filled.withColumn("fits", F.lit(True)), 24), "row", "left")
+    times = F.col("whole") + (F.coalesce("fits", F.lit(False)) | (F.col("size") == 0)).cast("long")
+    return named.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "key", "tie")
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          CAST('0x' || substr(md5('5:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
   FROM documents),
@@ -125,23 +131,14 @@ g AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
          target - (CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END) * source_size AS rest
   FROM t),
-p0 AS (
-  SELECT d.*, g.source_size, g.target, g.whole, g.rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) <= g.rest AS picked
+line AS (
+  SELECT d.doc_id, d.size, g.*, row_number() OVER (PARTITION BY d.source ORDER BY d.h, d.size) AS n
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-"""
-
-
-def _fill(n: int) -> str:
-    return f"""q{n} AS (SELECT source, max(rest) - coalesce(sum(CASE WHEN picked THEN size END), 0) AS gap FROM p{n} GROUP BY source),
-f{n} AS (
-  SELECT p.source, p.doc_id FROM p{n} AS p JOIN q{n} AS q ON p.source IS NOT DISTINCT FROM q.source
-  WHERE NOT picked AND size > 0 AND size <= gap
-  QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY size DESC, h) = 1),
-p{n + 1} AS (SELECT p.* REPLACE (p.picked OR f.doc_id IS NOT NULL AS picked) FROM p{n} AS p LEFT JOIN f{n} AS f ON f.doc_id = p.doc_id),
-"""
-
-
-SQL = SQL + "".join(map(_fill, range(FILLS))) + f"""r AS (SELECT * FROM p{FILLS})
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN picked THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+walk AS (
+  SELECT source, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, false AS fits FROM g
+  UNION ALL
+  SELECT line.source, line.n, walk.used + CASE WHEN walk.used + line.size <= line.rest THEN line.size ELSE 0 END, walk.used + line.size <= line.rest
+  FROM walk JOIN line ON line.source IS NOT DISTINCT FROM walk.source AND line.n = walk.n + 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN fits THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM line JOIN walk ON line.source IS NOT DISTINCT FROM walk.source AND line.n = walk.n
 """

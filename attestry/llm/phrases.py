@@ -23,6 +23,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,7 +37,7 @@ SHARE = 80
 TOP = 2000
 SLOTS = 2**26
 BURST = 4096
-HELD = 600_000
+HELD = 1_000_000
 VOCABULARY = 1_000_000
 #: Lower case for A-Z, one line feed for every byte that ends a piece.
 FOLD = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,10 +131,11 @@ class HatTrie:
                 self.root[head] = node
                 self.deep.add(head)
 
-    def take(self, leave: int) -> list[tuple[bytes, int]]:
-        """Cut off the largest subtrees until at most ``leave`` phrases are left; their phrases, unsorted."""
+    def take(self, leave: int) -> tuple[list[bytes], list[int]]:
+        """Cut off the largest subtrees until at most ``leave`` phrases are left; their phrases, unsorted, and counts."""
         sizes = {h: sum(map(len, box.values())) if h in self.deep else len(box) for h, box in self.root.items()}
-        out: list[tuple[bytes, int]] = []
+        keys: list[bytes] = []
+        counts: list[int] = []
         for head in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= leave:
                 break
@@ -141,10 +143,13 @@ class HatTrie:
             self.size -= sizes[head]
             if head in self.deep:
                 self.deep.discard(head)
-                out += [(head + second + key, n) for second, inner in box.items() for key, n in inner.items()]
+                for second, inner in box.items():
+                    keys += map((head + second).__add__, inner)
+                    counts += inner.values()
             else:
-                out += [(head + key, n) for key, n in box.items()]
-        return out
+                keys += map(head.__add__, box)
+                counts += box.values()
+        return keys, counts
 
 
 def _packed(ids: np.ndarray) -> list[bytes]:
@@ -201,20 +206,32 @@ def phrases_of(a: np.ndarray, hashes: np.ndarray, size: int, bits: np.ndarray |
 def _count(sizes: tuple[int, ...], bits: np.ndarray | None, held: int, burst: int, vocabulary: int):
     def run(batches):
         words, trie = Words(), HatTrie(burst)
+        singles = np.zeros(0, np.int64)  # words need no trie: counts by id
+
+        def taken(leave: int) -> tuple[list[bytes], list[int]]:
+            if sizes != (1,):
+                return trie.take(leave)
+            ids = np.flatnonzero(singles)
+            return _packed(ids[:, None]), singles[ids].tolist()
 
         def spilled(leave: int):
-            names, langs = words.names, words.langs
-            rows = []
-            for key, n in trie.take(leave):
-                ids = np.frombuffer(key, ">u4").tolist()
-                rows.append((langs[ids[0]], b" ".join([names[i] for i in ids]), n))
-            rows.sort()
-            for at in range(0, len(rows), 50_000):
-                lang, phrase, n = zip(*rows[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang, pa.binary()).cast(pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-                    ["lang", "phrase", "f"],
-                )
+            """Whole subtrees as rows sorted by language and phrase."""
+            names, langs = pa.array(words.names, pa.binary()).cast(pa.string()), pa.array(words.langs, pa.binary()).cast(pa.string())
+            keys, counts = taken(leave)
+            n, size = np.array(counts, np.int64), np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+            parts = []
+            for width in np.unique(size).tolist():
+                mine = size == width
+                some = keys if mine.all() else [k for k, m in zip(keys, mine.tolist()) if m]
+                ids = np.frombuffer(b"".join(some), ">u4").reshape(-1, width).astype(np.int64)
+                columns = [names.take(pa.array(ids[:, j])) for j in range(width)]
+                phrase = columns[0] if width == 1 else pc.binary_join_element_wise(*columns, " ")
+                parts.append(pa.table({"lang": langs.take(pa.array(ids[:, 0])), "phrase": phrase, "f": n[mine]}))
+            if parts:
+                run = pa.concat_tables(parts)
+                for lang in sorted(pc.unique(run["lang"]).to_pylist()):
+                    own = run.filter(pc.equal(run["lang"], lang)) if len(words.ids) > 1 else run
+                    yield from own.take(pc.sort_indices(own["phrase"])).to_batches(max_chunksize=50_000)
 
         for batch in batches:
             by_lang: dict[bytes, list[np.ndarray]] = {}
@@ -225,11 +242,17 @@ def _count(sizes: tuple[int, ...], bits: np.ndarray | None, held: int, burst: in
             hashes = np.array(words.hashes, np.uint64)
             for parts in by_lang.values():
                 a = np.concatenate(parts)
+                if sizes == (1,):
+                    fresh = np.bincount(a, minlength=len(words.names))
+                    fresh[: len(singles)] += singles
+                    fresh[0] = 0
+                    singles = fresh
+                    continue
                 for size in sizes:
                     trie.add(*phrases_of(a, hashes, size, bits))
             if len(words.names) > vocabulary:
                 yield from spilled(0)
-                words, trie = Words(), HatTrie(burst)
+                words, trie, singles = Words(), HatTrie(burst), np.zeros(0, np.int64)
             elif trie.size > held:
                 yield from spilled(held // 2)
         yield from spilled(0)

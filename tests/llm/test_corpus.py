@@ -176,6 +176,26 @@ def test_mixing_meets_targets(docs, rows):
     assert abs(sum(v[1] for v in by.values()) - total) < 1e-3
 
 
+def test_mixing_leaves_less_than_the_smallest_document_that_is_left(spark):
+    rng = random.Random(2)
+    data = []
+    for source in ("a", "b", "c", None):
+        sizes = [rng.randint(100, 700) for _ in range(150)] + [150_000, 20_000, 0]
+        data += [(len(data) + j, source, n) for j, n in enumerate(sizes)]
+    data += data[:3] + [(None, "a", 300), (None, "a", 300)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, row int").withColumn("text", F.when(F.col("row") > 0, F.repeat(F.lit("w "), F.col("row").cast("int"))))
+    for seed in (5, 6):
+        got = mixing.mix(docs, seed=seed).collect()
+        assert len(got) == len(data)
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.source_size, r.target].append(r)
+        for (size, target), some in by.items():
+            taken, whole = sum(r.taken for r in some), int(target // size)
+            left = [r["size"] for r in some if r["size"] and r.times == whole]
+            assert 0 <= target - taken < min(left, default=1) + 1e-6
+
+
 def test_water_filling_clamps_and_shares(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 490)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes, [3, 1, 1], 3).collect()}
@@ -263,6 +283,28 @@ def test_main_text_reads_unseen_layouts():
     extract.main_text(model, "<div " * 2000 + "<p>x" * 500)
 
 
+def test_pages_are_read_whole_and_their_own_marks_are_not_trusted():
+    page = '<p data-told="x">energy <math>E=m</math> and <object>o</object> 5 &lt; 6 < 7 <button>Go</button> x</p> <a title="a > b" href=\'q>\'>ln</a> <noscript>ns</noscript>'
+    assert [b.text for b in extract.blocks(page)] == ["energy E=m and o 5 < 6 < 7", "Go", "x", "ln", "ns"]
+    assert {b.told for b in extract.blocks('<div data-told="1">x</div>')} == {None}
+    assert [b.told for b in extract.blocks('<div data-told="1">x</div>', layout=True)] == [1]
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "".join(f'<div class="c{i}"><p>text number {i} here' for i in range(n)), lambda n: '<a "' * n, lambda n: '<a b="' * n, lambda n: "<!" * n, lambda n: "<a" * n,
+    lambda n: "<b>" * n + "<div>x</div></i></b>" * n, lambda n: "<p>" + "<b>" * n + "<div>x</div>" * n,
+])
+def test_hostile_pages_take_linear_time(make):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        extract.main_text(extract.PRIOR, make(n))
+        return time.process_time() - start
+
+    assert seconds(8000) < max(0.5, 12 * seconds(2000)) and seconds(8000) < 10
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(8)
     for _ in range(30):
@@ -331,5 +373,6 @@ def test_empty_tables(spark, none):
     assert decontaminate.decontaminate(none, items).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hamming.nearest(vectors, vectors).count() == 0
-    pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>text</p>")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>text</p>", None)] + [(2, "u", "", "y")] * 3, "page_id long, url string, html string, text string")
+    assert extract.extract(pages, extract.fit(pages)).count() == 5 and extract.extract(pages.limit(0), extract.fit(pages.limit(0))).count() == 0
     assert [r.n_chars for r in extract.extract(pages, extract.fit(pages)).orderBy("page_id").collect()][-1] == 0

@@ -78,10 +78,10 @@ def test_trie_counts_and_spills_whole_subtrees():
         seen.update(some)
         if trie.size > 150:
             heads = set(trie.root)
-            for key, n in trie.take(75):
+            for key, n in zip(*trie.take(75)):
                 out[tuple(np.frombuffer(key, ">u4").tolist())] += n
             assert trie.size <= 75 and len(trie.root) < len(heads)
-    for key, n in trie.take(0):
+    for key, n in zip(*trie.take(0)):
         out[tuple(np.frombuffer(key, ">u4").tolist())] += n
     assert out == seen and trie.size == 0 and not trie.root
 
