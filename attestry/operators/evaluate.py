@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry import rules
 from attestry.functions import scoring, text
-from attestry.session import broadcast_if_small
+from attestry.session import broadcast_if_small, cut_lineage
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -361,40 +361,119 @@ def run_costs(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys).agg(F.sum(units).alias("cost_units"), F.count(F.lit(1)).alias("calls"))
 
 
-def grounding(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """How many documents hold each passage (``item_id``, ``passage``) word for word.
+RUN = 3  # words of a run in the page index
+WINDOW = 4  # of so many neighbouring runs the least hash is indexed (a power of two)
 
-    White space is normalised on both sides. A document that holds a passage holds its
-    inner words as whole words, so each passage is looked up by its rarest inner word and
-    only those candidates are compared in full. Passages without an inner word, under
-    three words, are compared with the documents that hold a word containing their first
-    one; those words are found in the vocabulary, which is far smaller than the corpus.
+
+def _runs(words: Column) -> Column:
+    """Indexed runs of a word list as (``h``, ``at``): of each ``WINDOW`` neighbouring runs the one of least hash.
+
+    Equal stretches of ``RUN + WINDOW - 1`` words share an indexed run, whatever stands around them.
+    """
+    last = F.size(words) - RUN
+    least = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(RUN)]).alias("h"), i.alias("at"))
+    )
+    for step in (1, 2):  # least of two, then of four neighbours
+        ahead = F.slice(least, step + 1, F.size(words))
+        least = F.zip_with(least, ahead, lambda x, y: F.least(x, y))
+    picked = F.slice(least, 1, last - WINDOW + 2)
+    return F.when(last >= WINDOW - 1, F.array_distinct(picked)).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+
+
+def _long_hits(facts: DataFrame, folds: DataFrame) -> DataFrame:
+    """(``item_id``, ``fold``) where the words of a fact stand at one place of a page.
+
+    Each fact is looked up by its rarest indexed run. The outer words of a fact may be parts of a page's words.
     """
-    flat = documents.select("doc_id", text.clean(F.col("text")).alias("flat"))
-    texts = passages.select("item_id", text.clean(F.col("passage")).alias("passage"))
-    words = F.split("passage", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    wanted = texts.select("item_id", F.explode(F.array_distinct(inner)).alias("word"))
-    postings = flat.select("doc_id", F.explode(F.array_distinct(F.split("flat", " "))).alias("word"))
-    needed = postings.join(wanted.select("word").distinct(), "word", "left_semi")
+    wanted = facts.select("item_id", F.explode(_runs(F.col("inner"))).alias("r")).select("item_id", "r.h", F.col("r.at").alias("inside"))
+    index = folds.select("fold", F.explode(_runs(F.col("p"))).alias("r")).select("fold", "r.h", "r.at")
+    index = cut_lineage(index.join(broadcast_if_small(wanted.select("h").distinct()), "h", "left_semi"))
+    frequency = index.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    rarest = wanted.join(frequency, "h").groupBy("item_id").agg(F.min_by(F.struct("h", "inside"), F.struct("df", "h", "inside")).alias("r"))
+    places = rarest.select("item_id", "r.h", "r.inside").join(index, "h").select("item_id", "fold", (F.col("at") - F.col("inside")).alias("at"))
+    whole = places.where("at >= 1").join(facts.select("item_id", "w", "inner"), "item_id").join(folds.select("fold", "p"), "fold")
+    size = F.size("w")
+    here = (
+        (F.slice("p", F.col("at") + 1, size - 2) == F.col("inner"))
+        & F.endswith(F.get("p", F.col("at") - 1), F.get("w", F.lit(0)))
+        & F.coalesce(F.startswith(F.get("p", F.col("at") + size - 2), F.get("w", size - 1)), F.lit(False))
+    )
+    return whole.where(here).select("item_id", "fold").distinct()
+
+
+def _short_hits(facts: DataFrame, folds: DataFrame) -> DataFrame:
+    """The same for facts too short for the index: by their rarest inner word, or by the vocabulary without one."""
+    wanted = facts.select("item_id", F.explode(F.array_distinct("inner")).alias("word"))
+    postings = folds.select("fold", F.explode(F.array_distinct("p")).alias("word"))
+    needed = postings.join(broadcast_if_small(wanted.select("word").distinct()), "word", "left_semi")
     frequency = needed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = wanted.join(frequency, "word", "left").groupBy("item_id").agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word")
     )
-    long_pairs = rarest.join(needed, "word").select("item_id", "doc_id")
-    pairs = long_pairs
-    short = texts.where(F.size(words) < 3).select("item_id", F.get(words, F.lit(0)).alias("head"))
-    if not short.isEmpty():
+    pairs = rarest.join(needed, "word").select("item_id", "fold")
+    tiny = facts.where(F.size("w") < 3).select("item_id", F.get("w", F.lit(0)).alias("head"))
+    if not tiny.isEmpty():
         vocabulary = postings.select("word").distinct()
-        holds = vocabulary.join(broadcast_if_small(short), F.contains(vocabulary["word"], short["head"]))
-        pairs = pairs.union(holds.join(postings, "word").select("item_id", "doc_id")).distinct()
-    full = pairs.join(texts, "item_id").join(flat, "doc_id").where(F.contains("flat", "passage"))
-    hits = full.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    return texts.select("item_id").join(hits, "item_id", "left").select(
-        "item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_documents"), "first_doc"
+        holds = vocabulary.join(broadcast_if_small(tiny), F.contains(vocabulary["word"], tiny["head"]))
+        pairs = pairs.union(holds.join(postings, "word").select("item_id", "fold")).distinct()
+    full = pairs.join(facts.select("item_id", "passage"), "item_id").join(folds.select("fold", "flat"), "fold")
+    return full.where(F.contains("flat", "passage")).select("item_id", "fold")
+
+
+def grounding(facts: DataFrame, pages: DataFrame) -> DataFrame:
+    """On which pages each fact stands word for word, and whether that is as declared.
+
+    ``facts``: item_id, passage, doc_id and page (NULL if none is declared). ``pages``: doc_id, page,
+    text. White space is normalised on both sides; pages of equal text are looked at once.
+    ``verdict``: ``missing`` (on no page), ``several``, ``elsewhere`` (on one page, but not the
+    declared one), ``grounded`` (on one page, the declared one if any).
+    """
+    flat = cut_lineage(pages.select("doc_id", "page", text.clean(F.col("text")).alias("flat")).withColumn("fold", F.md5("flat")))
+    folds = flat.groupBy("fold").agg(
+        F.first("flat").alias("flat"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "page")).alias("place")
+    )
+    folds = cut_lineage(folds.withColumn("p", F.split("flat", " ")))
+    asked = facts.select("item_id", text.clean(F.col("passage")).alias("passage"), "doc_id", "page").withColumn("w", F.split("passage", " "))
+    asked = cut_lineage(asked.withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))))
+    long = F.size("w") >= RUN + WINDOW + 1
+    hits = _long_hits(asked.where(long), folds)
+    short = asked.where(~long)
+    if not short.isEmpty():
+        hits = hits.union(_short_hits(short, folds))
+    found = hits.join(folds.select("fold", "n", "place"), "fold").groupBy("item_id").agg(
+        F.sum("n").alias("n_pages"), F.min("place").alias("place")
+    )
+    one = F.col("n_pages") == 1
+    own = F.col("doc_id").isNull() | ((F.col("place.doc_id") == F.col("doc_id")) & (F.col("place.page") == F.col("page")))
+    verdict = (
+        F.when(F.col("n_pages").isNull(), "missing").when(~one, "several").when(own, "grounded").otherwise("elsewhere")
+    )
+    return asked.join(found, "item_id", "left").select(
+        "item_id", F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages"), F.col("place.doc_id").alias("first_doc"),
+        F.col("place.page").alias("first_page"), verdict.alias("verdict"),
     )
 
 
+def identifier_leaks(declared: DataFrame, pages: DataFrame) -> DataFrame:
+    """Identifiers whose pages are not the declared ones: (``identifier``, ``n_undeclared``, ``n_absent``).
+
+    ``declared``: identifier, doc_id, page. An identifier counts wherever its text stands, inside longer words too.
+    """
+    names = declared.select("identifier").distinct()
+    words = pages.select("doc_id", "page", F.explode(F.array_distinct(F.split(text.clean(F.col("text")), " "))).alias("word"))
+    # Identifiers are few and without blanks, so each is within one word; the distinct words are searched, not the pages.
+    holding = words.select("word").distinct().join(broadcast_if_small(names), F.contains("word", "identifier"))
+    seen = words.join(broadcast_if_small(holding), "word").select("identifier", "doc_id", "page").distinct()
+    both = seen.withColumn("seen", F.lit(1)).join(
+        declared.distinct().withColumn("told", F.lit(1)), ["identifier", "doc_id", "page"], "full_outer"
+    )
+    out = both.groupBy("identifier").agg(
+        F.count_if(F.col("told").isNull()).alias("n_undeclared"), F.count_if(F.col("seen").isNull()).alias("n_absent")
+    )
+    return out.where("n_undeclared + n_absent > 0")
+
+
 def closure_problems(shown: DataFrame, cited: DataFrame, referenced: DataFrame) -> DataFrame:
     """Questions whose shown, cited and referenced evidence differ, with what differs."""
     tag = lambda df, name: df.select("question_id", "evidence_id", F.lit(name).alias("side"))

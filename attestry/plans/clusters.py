@@ -53,16 +53,14 @@ def evidence_dedup(spark, folder):
 @query(
     "lane_merge_dedup",
     """WITH l AS (SELECT sha256(text) AS k, doc_id, 1 AS t, 0 AS h FROM documents WHERE contains(text, ' the ')
-      UNION ALL SELECT sha256(text), doc_id, 0, 1 FROM documents WHERE n_chars > 1000)
+      UNION ALL SELECT sha256(text), doc_id, 0, 1 FROM documents WHERE n_chars > 1000 OR NOT contains(text, ' the '))
     SELECT k AS chunk_key, min(doc_id) AS doc_id, max(t) AS in_text, max(h) AS in_hybrid FROM l GROUP BY 1""",
 )
 def lane_merge_dedup(spark, folder):
     docs = spread(table(spark, folder, "documents"))
     pick = lambda d: d.select(F.sha2("text", 256).alias("chunk_key"), "doc_id")
-    lanes = {
-        "text": pick(docs.where(F.col("text").contains(" the "))),
-        "hybrid": pick(docs.where(F.col("n_chars") > 1000)),
-    }
+    worded = F.coalesce(F.col("text").contains(" the "), F.lit(False))
+    lanes = {"text": pick(docs.where(worded)), "hybrid": pick(docs.where((F.col("n_chars") > 1000) | ~worded))}
     return cluster.merge_lanes(lanes, ["chunk_key"], "doc_id")
 
 

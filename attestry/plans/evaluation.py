@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry import rules
+from attestry.functions import text
 from attestry.operators import evaluate, events, ranking
 from attestry.plans.eventlog import LOG_CTE, log
 from attestry.plans.evidence import clean_sql
 from attestry.plans.fixtures import RECORDS_CTE, records
 from attestry.plans.ranking import SCORED_CTE, order_inputs
-from attestry.plans.registry import query, sql_list
+from attestry.plans.registry import query, quote, sql_list
 from attestry.sources.tables import spread, table
 
 
@@ -408,16 +409,89 @@ def doc_listing(spark, folder):
     return newest.limit(100).select("doc_id", "lang", "n_chars", (F.trim("receipt") != "").cast("int").alias("has_receipt"))
 
 
+PAGE_LINES = 10
+#: Pages of one document with a fact on its page, one on another page than declared, one on two pages and one on none.
+_PAGES = [
+    (-1, 1, "The rollout of ORB-77 begins on the first of May\nafter the board has met."),
+    (-1, 2, "Support keeps the old contract until the end of the year.\nThe rollout owner is named in ORB-78 and nowhere else here."),
+    (-1, 3, "Support keeps the old contract until the end of the year.\nSee XORB-78b."),
+]
+_FACTS = [
+    ("fact-own", "begins on the first of May after the board has met.", -1, 1),
+    ("fact-wrong", "owner is named in ORB-78 and nowhere else", -1, 1),
+    ("fact-twice", "keeps the old contract until the end of the year", -1, 2),
+    ("fact-none", "keeps the new contract until the end of the year", -1, 2),
+    ("fact-part", "llout of ORB-77 begins on the first of Ma", -1, 1),
+    ("fact-short", "rollout owner", -1, 2),
+]
+_DECLARED = [("ORB-77", -1, 1), ("ORB-78", -1, 2), ("ORB-79", -1, 3)]
+
+
+def _rows_sql(rows: list[tuple], columns: str) -> str:
+    cell = lambda v: quote(v).replace("\n", "' || chr(10) || '") if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
+
+
+_PAGES_CTE = f"""raw AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+pages AS (SELECT doc_id, p AS page, {clean_sql(f"array_to_string(lines[(p - 1) * {PAGE_LINES} + 1 : p * {PAGE_LINES}], ' ')")} AS flat
+    FROM (SELECT doc_id, lines, unnest(range(1, (len(lines) - 1) // {PAGE_LINES} + 2)) AS p FROM raw) x
+  UNION ALL SELECT doc_id, page, {clean_sql('text')} FROM {_rows_sql(_PAGES, 'doc_id, page, text')})"""
+
+
+def _pages(spark, folder):
+    lines = F.split("text", "\n")
+    docs = spread(table(spark, folder, "documents")).select(
+        "doc_id", F.explode(F.sequence(F.lit(1), F.floor((F.size(lines) - 1) / PAGE_LINES).cast("int") + 1)).alias("page"), lines.alias("lines")
+    )
+    paged = docs.select(
+        "doc_id", "page", F.array_join(F.slice("lines", (F.col("page") - 1) * PAGE_LINES + 1, F.lit(PAGE_LINES)), " ").alias("text")
+    )
+    return paged.unionByName(spark.createDataFrame(_PAGES, "doc_id bigint, page int, text string"))
+
+
 @query(
     "passage_grounding_check",
-    f"""WITH p AS (SELECT item_id, {clean_sql('text')} AS t FROM benchmark),
-    d AS (SELECT doc_id, {clean_sql('text')} AS t FROM documents)
-    SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_doc FROM p LEFT JOIN d ON contains(d.t, p.t) GROUP BY 1""",
+    f"""WITH {_PAGES_CTE}, said AS (SELECT trim(s) AS passage, min({{'d': doc_id, 'p': page}}) AS place
+      FROM (SELECT doc_id, page, unnest(regexp_extract_all(flat, '[^.!?]+[.!?]')) AS s FROM pages WHERE doc_id >= 0) x
+      WHERE len(string_split(trim(s), ' ')) >= 8 GROUP BY 1),
+    facts AS (SELECT md5(passage) AS item_id, passage, place.d AS doc_id, place.p AS page FROM said
+      UNION ALL SELECT concat('item-', item_id), {clean_sql('text')}, NULL, NULL FROM benchmark
+      UNION ALL SELECT item_id, passage, doc_id, page FROM {_rows_sql(_FACTS, 'item_id, passage, doc_id, page')}),
+    folds AS (SELECT flat, count(*) AS n, min({{'d': doc_id, 'p': page}}) AS place FROM pages GROUP BY 1),
+    places AS (SELECT flat, n, place, string_split(flat, ' ') AS w FROM folds),
+    runs AS (SELECT DISTINCT flat, n, place, array_to_string(w[i : i + 2], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM places) x),
+    asked AS (SELECT *, string_split(passage, ' ') AS w FROM facts),
+    met AS (SELECT item_id, n, r.place FROM asked JOIN runs r ON r.run = array_to_string(w[2:4], ' ') AND contains(flat, passage) WHERE len(w) >= 5
+      UNION ALL SELECT item_id, n, f.place FROM asked JOIN folds f ON contains(flat, passage) WHERE len(w) < 5),
+    hits AS (SELECT item_id, sum(n) AS n, min(place) AS place FROM met GROUP BY 1)
+    SELECT item_id, CAST(coalesce(n, 0) AS BIGINT) AS n_pages, place.d AS first_doc, CAST(place.p AS INT) AS first_page,
+      CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'several' WHEN doc_id IS NULL OR (place.d = doc_id AND place.p = page) THEN 'grounded' ELSE 'elsewhere' END AS verdict
+    FROM facts LEFT JOIN hits USING (item_id)""",
 )
 def passage_grounding_check(spark, folder):
-    docs = spread(table(spark, folder, "documents"))
-    passages = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return evaluate.grounding(passages, docs)
+    pages = _pages(spark, folder)
+    flat = pages.where("doc_id >= 0").select("doc_id", "page", F.explode(F.regexp_extract_all(text.clean(F.col("text")), F.lit("[^.!?]+[.!?]"), F.lit(0))).alias("s"))
+    said = flat.select(F.trim("s").alias("passage"), F.struct("doc_id", "page").alias("place")).where(F.size(F.split("passage", " ")) >= 8)
+    sentences = said.groupBy("passage").agg(F.min("place").alias("place")).select(
+        F.md5("passage").alias("item_id"), "passage", "place.doc_id", "place.page"
+    )
+    items = table(spark, folder, "benchmark").select(
+        F.concat(F.lit("item-"), "item_id").alias("item_id"), F.col("text").alias("passage"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("page")
+    )
+    literal = spark.createDataFrame(_FACTS, "item_id string, passage string, doc_id bigint, page int")
+    return evaluate.grounding(sentences.unionByName(items).unionByName(literal), pages)
+
+
+@query(
+    "identifier_leaks",
+    f"""WITH {_PAGES_CTE}, told AS (SELECT * FROM {_rows_sql(_DECLARED, 'identifier, doc_id, page')}),
+    seen AS (SELECT DISTINCT identifier, p.doc_id, p.page FROM (SELECT DISTINCT identifier FROM told) t JOIN pages p ON contains(flat, identifier)),
+    b AS (SELECT coalesce(s.identifier, t.identifier) AS identifier, t.identifier IS NULL AS u, s.identifier IS NULL AS a
+      FROM seen s FULL JOIN told t ON s.identifier = t.identifier AND s.doc_id = t.doc_id AND s.page = t.page)
+    SELECT identifier, count_if(u) AS n_undeclared, count_if(a) AS n_absent FROM b GROUP BY 1 HAVING count_if(u) + count_if(a) > 0""",
+)
+def identifier_leaks(spark, folder):
+    return evaluate.identifier_leaks(spark.createDataFrame(_DECLARED, "identifier string, doc_id bigint, page int"), _pages(spark, folder))
 
 
 @query(

@@ -71,7 +71,7 @@ SHEET_SQL = """SELECT record_id AS rid, concat('Overview of ', title, '. ## Note
 - ', excerpt, '
 - second item about ', provider, ' with details
 | id | provider | day |
-| ', record_id, ' | ', provider, ' | ', cast(source_date AS string), ' |') AS body FROM {records} WHERE seq % 4 = 1"""
+| ', record_id, ' | ', provider, ' | ', cast(source_date AS string), ' |') AS body FROM {records}"""
 
 _SENT = r"regexp_split_to_array(regexp_replace(b, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 

@@ -1,5 +1,7 @@
 """Answer, sink and evaluation behaviour on literal rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from attestry.operators import answering, asking, evaluate
@@ -73,11 +75,29 @@ def test_uncommitted_run_is_not_read(spark, tmp_path):
     assert sinks.read_committed(spark, base, "items").count() == 2
 
 
-def test_short_and_long_passages_are_grounded(spark):
-    docs = spark.createDataFrame([(1, "alpha beta  gamma\ndelta"), (2, "beta gamma delta alphabet")], ["doc_id", "text"])
-    passages = spark.createDataFrame([(1, "beta gamma delta"), (2, "alpha"), (3, "gamma alpha beta")], ["item_id", "passage"])
-    got = {r.item_id: r.n_documents for r in evaluate.grounding(passages, docs).collect()}
-    assert got == {1: 2, 2: 2, 3: 0}
+def test_facts_are_grounded_like_a_plain_search(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "ab", "of", "x1"]
+    page = lambda n: "".join(rng.choice(words) + rng.choice([" ", "  ", "\n"]) for _ in range(n))
+    pages = [(d, p, page(rng.randint(0, 60))) for d in range(25) for p in (1, 2)]
+    pages += [(90, 1, pages[3][2]), (91, 1, "delta " * 40), (92, 1, None)]
+    flat = {(d, p): " ".join((t or "").split()) for d, p, t in pages}
+    facts = []
+    for (d, p), t in flat.items():
+        for n in (4, 12, 30, 70):
+            at = rng.randint(0, max(0, len(t) - n))
+            if t[at : at + n].strip():
+                facts.append((len(facts), t[at : at + n], *rng.choice([(d, p), (None, None), (7, 1)])))
+    facts += [(1000, "alpha nowhere gamma delta beta alpha of x1 ab", 1, 1), (1001, "delta " * 9, 91, 1)]
+    expected = {}
+    for i, passage, d, p in facts:
+        passage = " ".join(passage.split())
+        hits = [k for k, t in sorted(flat.items()) if passage in t]
+        verdict = "missing" if not hits else "several" if len(hits) > 1 else "grounded" if d is None or hits[0] == (d, p) else "elsewhere"
+        expected[i] = (len(hits), *(hits[0] if hits else (None, None)), verdict)
+    f = spark.createDataFrame(facts, "item_id long, passage string, doc_id long, page int")
+    got = evaluate.grounding(f, spark.createDataFrame(pages, "doc_id long, page int, text string")).collect()
+    assert {r.item_id: tuple(r)[1:] for r in got} == expected
 
 
 def test_search_ranks_boosts_exactly(spark):
