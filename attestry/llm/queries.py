@@ -9,8 +9,6 @@ from attestry.llm import decontaminate, divergence, extract, hamming, language,
 from attestry.llm.common import crc_fold
 from attestry.sources.tables import table
 
-import corpus_pipeline
-
 QUERIES = {}
 ORACLES = {}
 
@@ -103,6 +101,3 @@ def op13_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_embedding_neardup"] = metric_join.SQL
-
-
-QUERIES["pipeline"] = corpus_pipeline.run
