@@ -1,8 +1,8 @@
 """Collocations by HAT-trie counting.
 
-Each task counts phrases in a trie of word ids: the first word leads to a hash container of the words
-after it, and a container that outgrows ``BURST`` bursts into a node with one container for each next
-word. A task that holds ``HELD`` phrases spills its largest subtrees whole, as runs sorted by phrase,
+Each task counts phrases in a trie of word ids: neighbouring first words share a hybrid hash container
+of phrases, and a container that outgrows ``BURST`` bursts into a node with one container for each
+first word. A task that holds ``HELD`` phrases spills its largest subtrees whole, as runs sorted by phrase,
 until half are left. The runs are tables in the shared folder; range partitions of the phrases, each a
 stretch of neighbouring prefixes, merge them. A prefix that many phrases share gets several stretches.
 
@@ -44,9 +44,9 @@ FOLD = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 e
 END = b"."
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text in order, with ``END`` (never a word) between its pieces."""
-    return text.translate(FOLD).replace(b"\n", b" . ").split()
+def pieces_of(text: bytes) -> bytes:
+    """A text with one ``END`` (never a word) after each of its pieces."""
+    return text.translate(FOLD).replace(b"\n", b" . ") + b" ."
 
 
 def utf8(text: bytes | None) -> bytes:
@@ -58,32 +58,25 @@ def utf8(text: bytes | None) -> bytes:
         return text.decode("utf-8", "replace").encode()
 
 
-class _Ids(dict):
-    """Words of one language to ids; ``END`` is 0."""
-
-    def __init__(self, lang: bytes, words: Words):
-        super().__init__({END: 0})
-        self.lang, self.words = lang, words
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.words.names)
-        self.words.names.append(word)
-        self.words.langs.append(self.lang)
-        self.words.hashes.append(word_hash(self.lang, word))
-        return at
-
-
 class Words:
-    """The word ids of a task, each of one language."""
+    """The word ids of a task, each of one language; ``END`` is 0."""
 
     def __init__(self):
         self.names, self.langs, self.hashes = [END], [b""], array("Q", [0])
-        self.ids: dict[bytes, _Ids] = {}
-
-    def read(self, lang: bytes, words: list[bytes]) -> np.ndarray:
-        if lang not in self.ids:
-            self.ids[lang] = _Ids(lang, self)
-        return np.fromiter(map(self.ids[lang].__getitem__, words), np.int64, len(words))
+        self.ids: dict[bytes, dict[bytes, int]] = {}
+
+    def read(self, lang: bytes, texts: list[bytes]) -> np.ndarray:
+        """Ids of all words of the texts, in order."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string())).flatten().dictionary_encode()
+        # Splitting leaves an empty word before white space that leads a text.
+        known = self.ids.setdefault(lang, {END: 0, b"": 0})
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        fresh = [w for w in distinct if w not in known]
+        known.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh))))
+        self.names += fresh
+        self.langs += [lang] * len(fresh)
+        self.hashes.extend([word_hash(lang, w) for w in fresh])
+        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
 
 
 def word_hash(lang: bytes, word: bytes) -> int:
@@ -99,56 +92,51 @@ class HatTrie:
 
     def __init__(self, burst: int = BURST):
         self.burst = burst
-        self.root: dict[bytes, dict] = {}
-        self.deep: set[bytes] = set()  # first words whose container has burst
+        self.root: dict[int, dict] = {}  # 64 neighbouring first words to their container
+        self.deep: set[int] = set()  # those whose container has burst
         self.size = 0
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         """Add phrases of one length (rows of ``ids``, sorted by their first word)."""
         if not len(ids):
             return
-        rest = _packed(ids[:, 1:])
-        counts = counts.tolist()
-        edges = [0, *(np.flatnonzero(np.diff(ids[:, 0])) + 1).tolist(), len(ids)]
-        heads = _packed(ids[edges[:-1], :1])
-        for head, start, stop in zip(heads, edges, edges[1:]):
-            box = self.root.setdefault(head, {})
-            if head in self.deep:
-                for key, n in zip(rest[start:stop], counts[start:stop]):
+        keys, counts = _packed(ids), counts.tolist()
+        slots = ids[:, 0] >> 6
+        edges = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(ids)]
+        for slot, start, stop in zip(slots[edges[:-1]].tolist(), edges, edges[1:]):
+            box = self.root.setdefault(slot, {})
+            if slot in self.deep:
+                for key, n in zip(keys[start:stop], counts[start:stop]):
                     inner = box.setdefault(key[:4], {})
-                    before = inner.get(key[4:])
+                    before = inner.get(key)
                     self.size += before is None
-                    inner[key[4:]] = (before or 0) + n
+                    inner[key] = (before or 0) + n
                 continue
             known = len(box)
-            for key, n in zip(rest[start:stop], counts[start:stop]):
+            for key, n in zip(keys[start:stop], counts[start:stop]):
                 box[key] = box.get(key, 0) + n
             self.size += len(box) - known
             if len(box) > self.burst:
                 node: dict[bytes, dict] = {}
                 for key, n in box.items():
-                    node.setdefault(key[:4], {})[key[4:]] = n
-                self.root[head] = node
-                self.deep.add(head)
+                    node.setdefault(key[:4], {})[key] = n
+                self.root[slot] = node
+                self.deep.add(slot)
 
     def take(self, leave: int) -> tuple[list[bytes], list[int]]:
         """Cut off the largest subtrees until at most ``leave`` phrases are left; their phrases, unsorted, and counts."""
-        sizes = {h: sum(map(len, box.values())) if h in self.deep else len(box) for h, box in self.root.items()}
+        sizes = {s: sum(map(len, box.values())) if s in self.deep else len(box) for s, box in self.root.items()}
         keys: list[bytes] = []
         counts: list[int] = []
-        for head in sorted(sizes, key=sizes.get, reverse=True):
+        for slot in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= leave:
                 break
-            box = self.root.pop(head)
-            self.size -= sizes[head]
-            if head in self.deep:
-                self.deep.discard(head)
-                for second, inner in box.items():
-                    keys += map((head + second).__add__, inner)
-                    counts += inner.values()
-            else:
-                keys += map(head.__add__, box)
-                counts += box.values()
+            box = self.root.pop(slot)
+            self.size -= sizes[slot]
+            for inner in box.values() if slot in self.deep else [box]:
+                keys += inner
+                counts += inner.values()
+            self.deep.discard(slot)
         return keys, counts
 
 
@@ -234,14 +222,12 @@ def _count(sizes: tuple[int, ...], bits: np.ndarray | None, held: int, burst: in
                     yield from own.take(pc.sort_indices(own["phrase"])).to_batches(max_chunksize=50_000)
 
         for batch in batches:
-            by_lang: dict[bytes, list[np.ndarray]] = {}
-            end = np.zeros(1, np.int64)
+            by_lang: dict[bytes, list[bytes]] = {}
             for lang, text in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "text"))):
-                lang = utf8(lang)
-                by_lang.setdefault(lang, []).extend((words.read(lang, words_of(utf8(text))), end))
+                by_lang.setdefault(utf8(lang), []).append(pieces_of(utf8(text)))
+            read = [words.read(lang, texts) for lang, texts in by_lang.items()]
             hashes = np.array(words.hashes, np.uint64)
-            for parts in by_lang.values():
-                a = np.concatenate(parts)
+            for a in read:
                 if sizes == (1,):
                     fresh = np.bincount(a, minlength=len(words.names))
                     fresh[: len(singles)] += singles

@@ -72,7 +72,7 @@ def test_trie_counts_and_spills_whole_subtrees():
     trie, seen, out = phrases.HatTrie(burst=4), collections.Counter(), collections.Counter()
     for _ in range(60):
         size = rng.randint(1, 4)
-        some = collections.Counter(tuple(rng.randint(1, 6) for _ in range(size)) for _ in range(30))
+        some = collections.Counter(tuple(rng.randint(1, 6) * 40 for _ in range(size)) for _ in range(30))
         ids = np.array(sorted(some), np.int64)
         trie.add(ids, np.array([some[tuple(r)] for r in ids.tolist()]))
         seen.update(some)
