@@ -46,10 +46,11 @@ def redact_map(col: Column, hidden: bool = False) -> Column:
     return F.map_filter(out, lambda k, v: ~k.isin(rules.HIDDEN_FIELDS)) if hidden else out
 
 
-def redact_deep(value: Column, kind: T.DataType, name: str = "") -> Column:
+def redact_deep(value: Column, kind: T.DataType, name: str = "", hidden: bool = False) -> Column:
     """Redact structs, arrays and maps to any depth; values under a sensitive name become one marker string.
 
-    Map values keep their type, so a sensitive key over values that are not strings gives null.
+    Map values keep their type, so a sensitive key over values that are not strings gives null. With
+    ``hidden`` the hidden fields of structs and maps are dropped at every level.
     """
     marker = F.lit("[REDACTED]")
     if name and is_sensitive(name):
@@ -57,14 +58,16 @@ def redact_deep(value: Column, kind: T.DataType, name: str = "") -> Column:
     if isinstance(kind, T.StringType):
         return redact(value)
     if isinstance(kind, T.StructType):
-        parts = [redact_deep(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]
+        fields = [f for f in kind.fields if not (hidden and f.name in rules.HIDDEN_FIELDS)]
+        parts = [redact_deep(value[f.name], f.dataType, f.name, hidden).alias(f.name) for f in fields]
         return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
     if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda v: redact_deep(v, kind.elementType))
+        return F.transform(value, lambda v: redact_deep(v, kind.elementType, "", hidden))
     if isinstance(kind, T.MapType):
-        hidden = marker if isinstance(kind.valueType, T.StringType) else F.lit(None)
+        instead = marker if isinstance(kind.valueType, T.StringType) else F.lit(None)
+        shown = F.map_filter(value, lambda k, v: ~k.isin(rules.HIDDEN_FIELDS)) if hidden else value
         return F.transform_values(
-            value, lambda k, v: F.when(sensitive_field(k) & v.isNotNull(), hidden).otherwise(redact_deep(v, kind.valueType))
+            shown, lambda k, v: F.when(sensitive_field(k) & v.isNotNull(), instead).otherwise(redact_deep(v, kind.valueType, "", hidden))
         )
     return value
 

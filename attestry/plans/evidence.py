@@ -251,7 +251,9 @@ def secret_redact_scan(spark, folder):
 @query(
     "deep_redact",
     """SELECT event_id, concat('apiKey=[REDACTED];k=', json_extract_string(props, '$.k'), ';note=Bearer [REDACTED] for ', event_type,
-      ';token_count=', user_id) AS fields FROM events""",
+      ';token_count=', user_id) AS fields,
+      concat('{"k":', to_json(json_extract_string(props, '$.k')), ',"calls":[{"apiKey":"[REDACTED]","note":"Bearer [REDACTED] for ', event_type, '","labels":{"password":"[REDACTED]","kind":"', event_type, '"}},',
+        '{"note":"', event_type, '","labels":{}}]}') AS nested FROM events""",
 )
 def deep_redact(spark, folder):
     events = table(spark, folder, "events")
@@ -263,8 +265,18 @@ def deep_redact(spark, folder):
         F.lit("token_count"), F.col("user_id").cast("string"),
     )
     safe = F.map_entries(secrets.redact_map(fields, hidden=True))
-    return events.select(
-        "event_id", F.array_join(F.transform(safe, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields")
+    note = F.concat(F.lit("Bearer abc"), "event_id", F.lit(" for "), "event_type")
+    labels = F.create_map(F.lit("password"), F.lit("x"), F.lit("request_id"), F.lit("y"), F.lit("kind"), F.col("event_type"))
+    call = lambda key, text, marks: F.struct(
+        key.cast("string").alias("apiKey"), F.col("event_id").cast("string").alias("request_id"), text.alias("note"), marks.alias("labels")
+    )
+    calls = F.array(call(F.col("user_id"), note, labels), call(F.lit(None), F.col("event_type"), F.map_filter(labels, lambda k, _: k.isNull())))
+    made = events.select("event_id", F.get_json_object("props", "$.k").alias("k"), calls.alias("calls"), safe.alias("safe"))
+    kinds = {f.name: f.dataType for f in made.schema.fields}
+    walked = F.struct(*[secrets.redact_deep(F.col(n), kinds[n], n, hidden=True).alias(n) for n in ("k", "calls")])
+    return made.select(
+        "event_id", F.array_join(F.transform("safe", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"),
+        F.to_json(walked).alias("nested"),
     )
 
 

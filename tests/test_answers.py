@@ -1,5 +1,7 @@
 """Answer, sink and evaluation behaviour on literal rows."""
 
+import hashlib
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -66,6 +68,21 @@ def test_hash_ignores_absent_fields_and_key_order(spark):
     assert h({"x": F.col("x"), "y": F.col("y")}) == h({"y": F.col("y"), "x": F.col("x"), "receipt_hash": F.lit("z")}) == h({"x": F.col("x")})
 
 
+def test_nested_hash_equals_a_sorted_dump(spark):
+    receipts = [
+        {"b": [{"z": 2, "a": "x\u00e9\n/\"q"}, [], {}], "receipt_hash": "old", "a": {"d": None, "B": True, "c": -0.25}},
+        {"a": {"B": True, "c": -0.25, "d": None}, "b": [{"a": "x\u00e9\n/\"q", "z": 2}, [], {}]},
+        {"b": [[], {"z": 2, "a": "x\u00e9\n/\"q"}, {}], "a": {"c": -0.25, "B": True, "d": None}},
+        {"a": {"receipt_hash": "inner stays"}}, {},
+    ]
+    texts = [json.dumps(r, indent=i) for i, r in enumerate(receipts)] + ["[1]", "no JSON", '{"a":1,"a":2}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, body string").orderBy("i")
+    got = [r.h for r in df.select("i", answering.receipt_text_hash(F.col("body")).alias("h")).orderBy("i").collect()]
+    plain = lambda r: json.dumps({k: v for k, v in r.items() if k != "receipt_hash"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert got == [hashlib.sha256(plain(r).encode()).hexdigest() for r in receipts] + [None] * 4
+    assert got[0] == got[1] != got[2]
+
+
 def test_uncommitted_run_is_not_read(spark, tmp_path):
     base = str(tmp_path)
     rows = spark.createDataFrame([(1,), (2,)], ["v"])
