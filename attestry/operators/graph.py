@@ -1,4 +1,7 @@
-"""Evidence graphs as node and edge tables."""
+"""Evidence graphs as node and edge tables.
+
+Where an id comes twice, its first version by ``seq`` counts, as in the order of arrival.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +15,10 @@ NODE = ["graph", "id", "type", "label"]
 EDGE = ["graph", "id", "type", "source", "target"]
 
 
-def _node(df: DataFrame, graph: str, kind: str, key: Column, label: Column) -> DataFrame:
+def _node(df: DataFrame, graph: str, kind: str, key: Column, label: Column, *more: str) -> DataFrame:
     return df.select(
         F.col(graph).cast("string").alias("graph"), F.concat(F.lit(f"{kind}:"), key.cast("string")).alias("id"),
-        F.lit(kind).alias("type"), label.alias("label"),
+        F.lit(kind).alias("type"), label.alias("label"), *more,
     )
 
 
@@ -42,9 +45,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _sources(evidence: DataFrame, graph: str) -> DataFrame:
-    """Source nodes, first label of each id within its graph."""
-    nodes = _node(evidence, graph, "source", F.col("source_id"), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("provider")))
-    return earliest(nodes, ["graph", "id", "type"], ["label"])
+    """Source nodes, the first of each id within its graph."""
+    first = earliest(evidence.select(graph, "source_id", "title", "provider", "seq"), [graph, "source_id"], ["seq"])
+    return _node(first, graph, "source", F.col("source_id"), _title("title", "provider"))
+
+
+def _title(name: str, provider: str) -> Column:
+    return F.coalesce(F.nullif(F.col(name), F.lit("")), F.col(provider))
 
 
 def _conflicts(conflicts: DataFrame, graph: str, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +65,7 @@ def _conflicts(conflicts: DataFrame, graph: str, sources: DataFrame) -> tuple[Da
 def packet_graph(packets: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Graph of every packet: task, sources, contradictions and the recommended action.
 
-    ``packets``: task_id, title, action. ``evidence``: task_id, source_id, title, provider.
+    ``packets``: task_id, title, action. ``evidence``: task_id, source_id, title, provider, seq.
     ``conflicts``: task_id, conflict_key, summary, evidence_id.
     """
     g = "task_id"
@@ -78,7 +85,7 @@ def answer_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of every answer.
 
-    ``citations``: question_id, source_id, title, provider. ``claims``: question_id, claim_no,
+    ``citations``: question_id, source_id, title, provider, seq. ``claims``: question_id, claim_no,
     claim, evidence_id rows. ``tasks``: question_id, task_id, title, action, evidence_id rows.
     """
     g = "question_id"
@@ -98,15 +105,16 @@ def answer_graph(
 def lineage_graph(connectors: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Connectors and the sources they produced, linked by the stored key only.
 
-    ``connectors``: connector_id, provider, name, state; ``sources``: source_id, title, provider,
-    connector_id. The state rides in the label when it is a known one.
+    ``connectors``: connector_id, provider, name, state, seq; ``sources``: source_id, title, provider,
+    connector_id, seq. The state rides in the label when it is a known one.
     """
-    c = connectors.where("connector_id IS NOT NULL AND provider IS NOT NULL").withColumn("g", F.lit("lineage"))
+    usable = connectors.where("connector_id IS NOT NULL AND provider IS NOT NULL")
+    c = earliest(usable, ["connector_id"], ["seq"]).withColumn("g", F.lit("lineage"))
     state = F.when(F.col("state").isin(rules.CONNECTOR_STATES), F.col("state"))
     label = F.concat_ws(" ", F.coalesce(F.nullif(F.col("name"), F.lit("")), "provider"), state)
     hubs = _node(c, "g", "connector", F.col("connector_id"), label)
-    s = sources.where("source_id IS NOT NULL").withColumn("g", F.lit("lineage"))
-    leaves = _node(s, "g", "source", F.col("source_id"), F.coalesce(F.nullif(F.col("title"), F.lit("")), "provider"))
+    s = earliest(sources.where("source_id IS NOT NULL"), ["source_id"], ["seq"]).withColumn("g", F.lit("lineage"))
+    leaves = _node(s, "g", "source", F.col("source_id"), _title("title", "provider"))
     came = _edge(s.where("connector_id IS NOT NULL"), "g", "ORIGINATED_FROM", _tag("source", "source_id"), _tag("connector", "connector_id"))
     return _union([hubs, leaves]), _known(came, hubs, "target")
 
@@ -116,7 +124,8 @@ def action_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Proposals with their evidence, approval and confirmed execution.
 
-    ``proposals``: proposal_id, provider, action_type, evidence_ids_json. Unreadable JSON gives
+    ``proposals``: proposal_id, provider, action_type, evidence_ids_json. ``evidence``: source_id, title,
+    provider, seq. Unreadable JSON gives
     no evidence; only a succeeded execution with a response id is a receipt.
     """
     g = "proposal_id"
@@ -125,9 +134,9 @@ def action_graph(
     raw = F.trim("evidence_ids_json")
     ids = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
     wanted = proposals.select(g, F.explode(F.array_distinct(ids)).alias("source_id"))
-    found = evidence.select("source_id", "title", F.col("provider").alias("s_provider")).dropDuplicates(["source_id"])
+    found = earliest(evidence.select("source_id", "title", F.col("provider").alias("s_provider"), "seq"), ["source_id"], ["seq"])
     cited = wanted.join(found, "source_id")
-    sources = _node(cited, g, "source", F.col("source_id"), F.coalesce(F.nullif(F.col("title"), F.lit("")), "s_provider"))
+    sources = _node(cited, g, "source", F.col("source_id"), _title("title", "s_provider"))
     support = _edge(cited, g, "SUPPORTS", _tag("source", "source_id"), _tag("action", g))
     decided = approvals.where("decision IS NOT NULL AND decision <> ''").join(proposals.select(g), g, "left_semi")
     gates = _node(decided, g, "approval", F.col(g), F.col("decision"))
@@ -143,15 +152,15 @@ def proof_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Providers, what they returned, and the claims, contradictions and actions built on it.
 
-    All inputs carry ``question_id``; links are (``key``, ``evidence_id``) rows with a ``label``.
+    All inputs carry ``question_id`` and ``seq``; links are (``key``, ``evidence_id``) rows with a ``label``.
     Edges survive only between nodes that exist.
     """
     g = "question_id"
-    named = _node(providers.where("status <> 'not-required'"), g, "provider", F.col("provider"), F.col("provider"))
-    facts = _node(evidence, g, "evidence", F.col("evidence_id"), F.col("title"))
+    named = _node(providers.where("status <> 'not-required'"), g, "provider", F.col("provider"), F.col("provider"), "seq")
+    facts = _node(evidence, g, "evidence", F.col("evidence_id"), F.col("title"), "seq")
     kinds = [("claim", claims, "supports"), ("contradiction", conflicts, "conflicts"), ("action", tasks, "prioritises")]
-    built = [_node(df, g, kind, F.col("key"), F.col("label")) for kind, df, _ in kinds]
-    nodes = earliest(_union([named, facts, *built]), ["graph", "id", "type"], ["label"]).select(*NODE)
+    built = [_node(df, g, kind, F.col("key"), F.col("label"), "seq") for kind, df, _ in kinds]
+    nodes = earliest(_union([named, facts, *built]), ["graph", "id", "type"], ["seq", "label"]).select(*NODE)
 
     def link(df: DataFrame, kind: str, a: Column, b: Column, ident: Column) -> DataFrame:
         return df.select(F.col(g).cast("string").alias("graph"), ident.alias("id"), F.lit(kind).alias("type"), a.alias("source"), b.alias("target"))
@@ -161,15 +170,15 @@ def proof_graph(
     for kind, df, verb in kinds:
         edges.append(link(df, verb, _tag("evidence", "evidence_id"), _tag(kind, "key"),
                           F.concat_ws(":", F.lit(verb), "evidence_id", F.lit(kind), "key")))
-    distinct = _union(edges).dropDuplicates(["graph", "id"])
+    distinct = _union(edges).distinct()
     return nodes, _known(_known(distinct, nodes, "source"), nodes, "target")
 
 
 def merged(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Several graphs as one: first version of a node by graph order, edges with a known source."""
-    nodes = _union([n.select("id", "type", "label").withColumn("_g", F.lit(i)) for i, (n, _) in enumerate(graphs)])
-    first = earliest(nodes, ["id"], ["_g", "label"]).select("id", "type", "label")
-    edges = _union([e.select("id", "type", "source", "target") for _, e in graphs]).dropDuplicates(["id", "type"])
+    nodes = _union([n.select(*NODE).withColumn("_g", F.lit(i)) for i, (n, _) in enumerate(graphs)])
+    first = earliest(nodes, ["id"], ["_g", "graph"]).select("id", "type", "label")
+    edges = _union([e.select("id", "type", "source", "target") for _, e in graphs]).distinct()
     return first, edges.join(first.select(F.col("id").alias("source")), "source", "left_semi").select("id", "type", "source", "target")
 
 

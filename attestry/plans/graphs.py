@@ -16,6 +16,11 @@ def _lines(spark, folder):
     )
 
 
+def _offer():
+    """Titles fall as lines go on, so that the first is not the least; the first line has none."""
+    return F.when(F.col("n") > 1, F.concat(F.lit("offer "), 9 - F.col("n"))).otherwise("")
+
+
 def _packet_inputs(spark, folder):
     action = F.when(F.col("o_orderstatus") != "F", "Review the cited receipt.").otherwise(" ")
     packets = table(spark, folder, "orders").select(
@@ -23,7 +28,7 @@ def _packet_inputs(spark, folder):
     )
     lines = _lines(spark, folder)
     evidence = lines.select(
-        F.col("k").alias("task_id"), F.col("part").alias("source_id"), F.lit("").alias("title"), F.lit("part").alias("provider")
+        F.col("k").alias("task_id"), F.col("part").alias("source_id"), _offer().alias("title"), F.lit("part").alias("provider"), F.col("n").alias("seq")
     )
     # Each returned line disputes its own part, and a part that may not be among the evidence.
     returned = lines.where("flag = 'R'")
@@ -39,11 +44,11 @@ def _packet_graph(spark, folder):
     return graph.packet_graph(*_packet_inputs(spark, folder))
 
 
-_SRC = "src AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), ret AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R')"
+_SRC = "src AS (SELECT l_orderkey AS k, l_partkey AS p, CASE WHEN min(l_linenumber) > 1 THEN concat('offer ', 9 - min(l_linenumber)) ELSE 'part' END AS t FROM lineitem GROUP BY 1, 2), ret AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R')"
 _REFUTES = """SELECT CAST(r.k AS VARCHAR) AS graph, 'edge' AS part, concat('edge:source:', e, '->contradiction:', r.k, ':', r.p) AS id, 'REFUTES' AS type, concat('source:', e, '>contradiction:', r.k, ':', r.p) AS detail
   FROM (SELECT k, p, unnest([p, p + 1]) AS e FROM ret) r JOIN src ON src.k = r.k AND src.p = r.e"""
 _PACKET_SQL = f"""SELECT CAST(o_orderkey AS VARCHAR) AS graph, 'node' AS part, concat('task:', o_orderkey) AS id, 'task' AS type, o_orderpriority AS detail FROM orders
-  UNION ALL SELECT CAST(k AS VARCHAR), 'node', concat('source:', p), 'source', 'part' FROM src
+  UNION ALL SELECT CAST(k AS VARCHAR), 'node', concat('source:', p), 'source', t FROM src
   UNION ALL SELECT CAST(k AS VARCHAR), 'node', concat('contradiction:', k, ':', p), 'contradiction', concat('returned ', p) FROM ret
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'node', concat('action:', o_orderkey), 'action', 'Review the cited receipt.' FROM orders WHERE o_orderstatus <> 'F'
   UNION ALL SELECT CAST(k AS VARCHAR), 'edge', concat('edge:source:', p, '->task:', k), 'SUPPORTS', concat('source:', p, '>task:', k) FROM src
@@ -56,7 +61,7 @@ def packet_graph(spark, folder):
     return graph.as_rows(*_packet_graph(spark, folder))
 
 
-_ANSWER_SQL = f"""SELECT CAST(k AS VARCHAR) AS graph, 'node' AS part, concat('source:', p) AS id, 'source' AS type, 'part' AS detail FROM src
+_ANSWER_SQL = f"""SELECT CAST(k AS VARCHAR) AS graph, 'node' AS part, concat('source:', p) AS id, 'source' AS type, t AS detail FROM src
   UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), 'node', concat('claim:', l_linenumber), 'claim', concat('line ', l_linenumber) FROM lineitem
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'node', concat('task:', o_orderkey % 100), 'task', o_orderpriority FROM orders JOIN (SELECT DISTINCT k FROM ret) r ON r.k = o_orderkey
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'node', concat('action:', o_orderkey % 100), 'action', 'Review' FROM orders JOIN (SELECT DISTINCT k FROM ret) r ON r.k = o_orderkey WHERE o_orderstatus = 'O'
@@ -72,7 +77,7 @@ _ANSWER_SQL = f"""SELECT CAST(k AS VARCHAR) AS graph, 'node' AS part, concat('so
 def _answer_graph(spark, folder):
     lines = _lines(spark, folder)
     q = F.col("k").alias("question_id")
-    citations = lines.select(q, F.col("part").alias("source_id"), F.lit("").alias("title"), F.lit("part").alias("provider"))
+    citations = lines.select(q, F.col("part").alias("source_id"), _offer().alias("title"), F.lit("part").alias("provider"), F.col("n").alias("seq"))
     cited = F.when(F.col("n") == 5, F.col("part") + 1).otherwise(F.col("part"))
     claims = lines.select(q, F.col("n").alias("claim_no"), F.concat(F.lit("line "), "n").alias("claim"), cited.alias("evidence_id"))
     orders = table(spark, folder, "orders").select(
@@ -98,12 +103,14 @@ _LINEAGE_SQL = f"""SELECT 'lineage' AS graph, 'node' AS part, concat('connector:
 
 def _lineage_graph(spark, folder):
     state = F.when(F.col("s_acctbal") > 0, "data_verified").otherwise("mystery")
-    connectors = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("connector_id"), F.when(F.col("s_suppkey") % 4 != 0, "erp").alias("provider"), F.col("s_name").alias("name"), state.alias("state")
+    # Every connector is listed twice; its second name would come first by spelling.
+    name = F.concat(F.when(F.col("seq") == 2, "A").otherwise(""), "s_name")
+    connectors = table(spark, folder, "supplier").withColumn("seq", F.explode(F.array(F.lit(2), F.lit(1)))).select(
+        F.col("s_suppkey").alias("connector_id"), F.when(F.col("s_suppkey") % 4 != 0, "erp").alias("provider"), name.alias("name"), state.alias("state"), "seq"
     )
     sources = table(spark, folder, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("source_id"), F.lit("").alias("title"), F.lit("line").alias("provider"),
-        F.when(F.col("l_linenumber") < 6, F.col("l_suppkey")).alias("connector_id"),
+        F.when(F.col("l_linenumber") < 6, F.col("l_suppkey")).alias("connector_id"), F.col("l_linenumber").alias("seq"),
     )
     return graph.lineage_graph(connectors, sources)
 
@@ -135,8 +142,9 @@ def action_graph(spark, folder):
         k.alias("proposal_id"), F.lit("linear").alias("provider"), F.lit("create_issue").alias("action_type"),
         F.when(k % 3 == 0, "{broken").otherwise(ids).alias("evidence_ids_json"),
     )
-    evidence = table(spark, folder, "part").select(
-        F.col("p_partkey").cast("string").alias("source_id"), F.col("p_name").alias("title"), F.lit("part").alias("provider")
+    title = F.concat(F.when(F.col("seq") == 2, "!").otherwise(""), "p_name")  # a later version that sorts first
+    evidence = table(spark, folder, "part").withColumn("seq", F.explode(F.array(F.lit(2), F.lit(1)))).select(
+        F.col("p_partkey").cast("string").alias("source_id"), title.alias("title"), F.lit("part").alias("provider"), "seq"
     )
     decision = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "rejected")
     approvals = orders.select(k.alias("proposal_id"), decision.alias("decision"))
@@ -153,7 +161,7 @@ def action_graph(spark, folder):
     c AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey + CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END AS p FROM lineitem),
     n AS (SELECT DISTINCT k, concat('provider:', f) AS id, 'provider' AS type, f AS detail FROM e WHERE f <> 'N' UNION SELECT DISTINCT k, concat('evidence:', p), 'evidence', concat('part ', p) FROM e
       UNION SELECT DISTINCT k, concat('claim:', n), 'claim', concat('line ', n) FROM c UNION SELECT DISTINCT k, concat('contradiction:', p), 'contradiction', 'returned' FROM e WHERE f = 'R'
-      UNION SELECT DISTINCT k, concat('action:', k), 'action', 'next' FROM e WHERE f = 'A'),
+      UNION SELECT k, concat('action:', k), 'action', concat('next ', max(p)) FROM e WHERE f = 'A' GROUP BY k),
     l AS (SELECT k, concat('returned:', f, ':', p) AS id, 'returned' AS type, concat('provider:', f) AS s, concat('evidence:', p) AS t FROM e
       UNION SELECT k, concat('supports:', p, ':claim:', n), 'supports', concat('evidence:', p), concat('claim:', n) FROM c
       UNION SELECT k, concat('conflicts:', p, ':contradiction:', p), 'conflicts', concat('evidence:', p), concat('contradiction:', p) FROM e WHERE f = 'R'
@@ -163,15 +171,15 @@ def action_graph(spark, folder):
 )
 def proof_graph(spark, folder):
     lines = _lines(spark, folder)
-    q = F.col("k").alias("question_id")
-    providers = lines.select(q, F.col("flag").alias("provider"), F.when(F.col("flag") == "N", "not-required").otherwise("received").alias("status"))
-    evidence = lines.select(q, F.col("part").alias("evidence_id"), F.concat(F.lit("part "), "part").alias("title"), F.col("flag").alias("provider"))
+    q, seq = F.col("k").alias("question_id"), (-F.col("part")).alias("seq")
+    providers = lines.select(q, F.col("flag").alias("provider"), F.when(F.col("flag") == "N", "not-required").otherwise("received").alias("status"), seq)
+    evidence = lines.select(q, F.col("part").alias("evidence_id"), F.concat(F.lit("part "), "part").alias("title"), F.col("flag").alias("provider"), seq)
     claims = lines.select(
         q, F.col("n").cast("string").alias("key"), F.concat(F.lit("line "), "n").alias("label"),
-        (F.col("part") + F.when(F.col("n") == 5, 1).otherwise(0)).alias("evidence_id"),
+        (F.col("part") + F.when(F.col("n") == 5, 1).otherwise(0)).alias("evidence_id"), seq,
     )
-    conflicts = lines.where("flag = 'R'").select(q, F.col("part").cast("string").alias("key"), F.lit("returned").alias("label"), F.col("part").alias("evidence_id"))
-    tasks = lines.where("flag = 'A'").select(q, F.col("k").cast("string").alias("key"), F.lit("next").alias("label"), F.col("part").alias("evidence_id"))
+    conflicts = lines.where("flag = 'R'").select(q, F.col("part").cast("string").alias("key"), F.lit("returned").alias("label"), F.col("part").alias("evidence_id"), seq)
+    tasks = lines.where("flag = 'A'").select(q, F.col("k").cast("string").alias("key"), F.concat(F.lit("next "), "part").alias("label"), F.col("part").alias("evidence_id"), seq)
     return graph.as_rows(*graph.proof_graph(providers, evidence, claims, conflicts, tasks))
 
 
