@@ -104,6 +104,7 @@ def why_above_next(ranked: DataFrame) -> DataFrame:
                 (-F.abs(F.col(f"d_{n}"))).alias("size"),
                 F.lit(i).alias("at"),
                 F.lit(n).alias("component"),
+                F.lit(rules.COMPONENT_LABELS.get(n, n)).alias("label"),
                 F.col(f"d_{n}").alias("delta"),
             )
             for i, n in enumerate(parts)
@@ -111,6 +112,12 @@ def why_above_next(ranked: DataFrame) -> DataFrame:
     )
     ordered = F.array_sort(F.filter(gaps, lambda g: g["delta"] != 0))
     cents = lambda g: F.floor(g["delta"] * 100 + 0.5).cast("bigint").cast("string")
+
+    def labelled(gap):
+        """The signed gap in its shortest form and the name of its component."""
+        points = F.regexp_replace((F.floor(gap["delta"] * 100 + 0.5) / 100).cast("decimal(12,2)").cast("string"), r"\.?0+$", "")
+        return F.concat(F.when(gap["delta"] > 0, "+").otherwise(""), points, F.lit(" "), gap["label"])
+
     return nxt.select(
         "workspace_id",
         "rank",
@@ -120,6 +127,7 @@ def why_above_next(ranked: DataFrame) -> DataFrame:
         F.array_join(F.transform(ordered, lambda g: F.concat(g["component"], F.lit("="), cents(g))), ";").alias(
             "components"
         ),
+        F.array_join(F.transform(ordered, labelled), "; ").alias("labels"),
         F.when(
             F.col("score_delta") == 0,
             "Both items score identically under this policy; the tie is broken by identifier.",

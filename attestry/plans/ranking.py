@@ -234,7 +234,8 @@ _DELTA_SQL = ", ".join(
     f"({c}) - lead({c}) OVER (PARTITION BY workspace_id ORDER BY rank) AS d_{n}" for n, c in COMPONENTS_SQL.items()
 )
 _GAPS_SQL = ", ".join(
-    f"{{'size': -abs(d_{n}), 'at': {i}, 'txt': concat('{n}=', CAST(floor(d_{n} * 100 + 0.5e0) AS BIGINT))}}"
+    f"{{'size': -abs(d_{n}), 'at': {i}, 'txt': concat('{n}=', CAST(floor(d_{n} * 100 + 0.5e0) AS BIGINT)), 'label': concat(CASE WHEN d_{n} > 0 THEN '+' ELSE '' END, "
+    f"regexp_replace(CAST(CAST(floor(d_{n} * 100 + 0.5e0) / 100 AS DECIMAL(12, 2)) AS VARCHAR), '\\.?0+$', ''), ' {rules.COMPONENT_LABELS.get(n, n)}')}}"
     for i, n in enumerate(COMPONENTS_SQL)
 )
 
@@ -247,6 +248,7 @@ _GAPS_SQL = ", ".join(
       FROM queue)
     SELECT workspace_id, rank, leader_id, runner_up_id, score_delta,
       array_to_string(list_transform(list_sort(list_filter([{_GAPS_SQL}], lambda g: g.size <> 0)), lambda g: g.txt), ';') AS components,
+      array_to_string(list_transform(list_sort(list_filter([{_GAPS_SQL}], lambda g: g.size <> 0)), lambda g: g.label), '; ') AS labels,
       CASE WHEN score_delta = 0 THEN 'Both items score identically under this policy; the tie is broken by identifier.' ELSE concat('Leads by ', regexp_replace(CAST(CAST(abs(score_delta) AS DECIMAL(12, 2)) AS VARCHAR), '\\.?0+$', ''), ' points.') END AS summary
     FROM d WHERE runner_up_id IS NOT NULL""",
 )
