@@ -18,6 +18,7 @@ from attestry.session import cut_lineage
 MIN_SHARED = 5
 MIN_COVERAGE = 0.8
 MIN_JACCARD = 0.65
+MAX_FREE = 6  # actors and products of a span whose 2^n choices are offered as keys
 
 
 def mark_duplicates(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -184,15 +185,90 @@ def _probes(each: DataFrame) -> DataFrame:
     return rarest.select(*keys, "token").union(prefix.select(*keys, "token"))
 
 
-def wording_pairs(sigs: DataFrame) -> DataFrame:
-    """Signature pairs of different providers with the same wording, each pair once."""
-    sigs = cut_lineage(sigs)
-    each = sigs.where(F.size("tokens") >= MIN_SHARED).select(
+def members(df: DataFrame, sigs: DataFrame, key: str, extra: list[str]) -> DataFrame:
+    """The signature (``rep``) of every record of ``df``."""
+    keys = ["workspace_id", "provider", *extra, *FEATURE_COLUMNS]
+    folded = wording_features(df).select(key, *keys).alias("folded")
+    reps = sigs.select("rep", *keys).alias("reps")
+    same = [F.col(f"folded.{c}").eqNullSafe(F.col(f"reps.{c}")) for c in keys]
+    return folded.join(reps, same).select(f"folded.{key}", "reps.rep")
+
+
+def wording_candidates(sigs: DataFrame, either: str | None = None) -> DataFrame:
+    """Signature pairs (``rep`` < ``rep2``) among which are all of the same wording.
+
+    Of two matching records one (the seeker) has no words of its own but years, and the
+    other's own words are years, actors or products of its span. Without four-digit words
+    the seeker's words are therefore the other's words less some of its actors and products,
+    and each record offers its words under every such choice. Scopes, dates (as meeting
+    codes) and the other provider are parts of the key too, so records of one provider
+    never meet, and a template in many records meets only at dates that agree.
+
+    Records with more than ``MAX_FREE`` actors and products would offer too many choices and
+    are looked up by the seeker's rarest word instead. ``either`` names a boolean column
+    that must hold on at least one side.
+    """
+    usable = sigs.where((F.size("tokens") >= MIN_SHARED) & ~F.col("undated")).withColumn(
+        "core", F.filter("tokens", lambda w: ~w.rlike("^[0-9]{4}$"))
+    )
+    usable = usable.withColumn("free", F.array_intersect("core", F.concat("actors", "products")))
+    flag = F.col(either) if either else F.lit(True)
+
+    def key(words: Column) -> Column:
+        return F.xxhash64(F.concat_ws(" ", words), F.concat_ws(" ", "scopes"))
+
+    place = ["workspace_id", "words", "code"]
+    seek = usable.select(
+        "workspace_id", "provider", "rep", flag.alias("open"), key(F.col("core")).alias("words"),
+        F.explode(dates.meeting_codes(F.col("anchors"), True)).alias("code"),
+    )
+    masks = F.expr("sequence(0, shiftleft(1, size(free)) - 1)")
+    fits = F.size("tokens") - F.bit_count("mask") >= MIN_JACCARD * F.size("tokens")
+    left_out = F.expr("filter(free, (word, i) -> shiftright(mask, i) & 1 = 1)")
+    offer = (
+        usable.where(F.size("free") <= MAX_FREE)
+        .withColumn("mask", F.explode(masks))
+        .where(fits)
+        .select(
+            "workspace_id", F.col("provider").alias("own"), F.col("rep").alias("rep2"), flag.alias("open2"), "anchors",
+            key(F.array_except("core", left_out)).alias("words"),
+        )
+        .withColumn("code", F.explode(dates.meeting_codes(F.col("anchors"), False)))
+        .drop("anchors")
+    )
+    seekers = seek.groupBy(*place).agg(F.collect_set("provider").alias("providers"))  # as many as there are connectors
+    aimed = offer.join(seekers, place).withColumn(
+        "provider", F.explode(F.array_except("providers", F.array("own")))
+    ).drop("providers")
+    on = [*place, "provider"]
+    met = seek.where("open").join(aimed, on).select("rep", "rep2")
+    if either:
+        met = met.union(seek.where("NOT open").join(aimed.where("open2"), on).select("rep", "rep2"))
+    wide = usable.where(F.size("free") > MAX_FREE)
+    if not wide.isEmpty():
+        met = met.union(_wide_candidates(usable, wide, flag))
+    return met.where("rep <> rep2").select(
+        F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")
+    ).distinct()
+
+
+def _wide_candidates(usable: DataFrame, wide: DataFrame, flag: Column) -> DataFrame:
+    near = usable.join(wide.select("workspace_id").distinct(), "workspace_id", "left_semi")
+    each = near.select(
         "workspace_id", "rep", F.size("tokens").alias("size"), "years", F.explode("tokens").alias("token")
     ).withColumn("core", ~F.array_contains("years", F.col("token"))).drop("years")
-    other = each.select("workspace_id", "token", F.col("rep").alias("rep2"))
-    met = _probes(each).join(other, ["workspace_id", "token"]).where("rep <> rep2")
-    candidates = met.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
+    other = wide.select("workspace_id", F.explode("tokens").alias("token"), F.col("rep").alias("rep2"), flag.alias("open2"))
+    seekers = _probes(each).join(near.select("rep", flag.alias("open")), "rep")
+    return seekers.join(other, ["workspace_id", "token"]).where("open OR open2").select("rep", "rep2")
+
+
+def wording_pairs(sigs: DataFrame, either: str | None = None) -> DataFrame:
+    """Signature pairs of different providers with the same wording, each pair once.
+
+    Sides are the structs ``l`` and ``r``; ``either`` as in ``wording_candidates``.
+    """
+    sigs = cut_lineage(sigs)
+    candidates = wording_candidates(sigs, either)
     fields = [c for c in sigs.columns if c != "rep"]
     packed = sigs.select("rep", F.struct(*fields).alias("s"))
     joined = candidates.join(packed.withColumnRenamed("s", "l"), "rep").join(
@@ -201,6 +277,19 @@ def wording_pairs(sigs: DataFrame) -> DataFrame:
     return joined.where((F.col("l.provider") != F.col("r.provider")) & same_wording("l", "r"))
 
 
+def wording_links(df: DataFrame, key: str) -> DataFrame:
+    """Number of other records with the same wording (``n_links``) and the first of them by ``key``, per record."""
+    sigs = cut_lineage(signatures(df, key, []))
+    pairs = wording_pairs(sigs)
+    sides = pairs.select("rep", F.col("rep2").alias("other"), F.col("r.n").alias("n")).union(
+        pairs.select("rep2", "rep", "l.n")
+    )
+    linked = sides.groupBy("rep").agg(F.sum("n").alias("n_links"), F.min("other").alias("first_match"))
+    return members(df, sigs, key, []).join(linked, "rep", "left").select(
+        key, F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_match"
+    )
+
+
 def reciprocal_unique(pairs: DataFrame) -> DataFrame:
     """Pairs in which each record is the other's only match (``a``, ``b``, ``n_a``, ``n_b``)."""
     sides = pairs.select(F.col("a").alias("x"), F.col("n_b").alias("n")).union(pairs.select("b", "n_a"))
@@ -310,9 +399,9 @@ def match_records(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ``known`` has ``node``, ``component`` (NULL without ids), ``entities`` and the task columns.
     """
     keyed = known.withColumn("home", F.coalesce("component", F.lit("")))
-    sigs = signatures(keyed, "node", ["home"])
+    sigs = signatures(keyed, "node", ["home"]).withColumn("is_open", F.col("home") == "")
     pairs = cut_lineage(
-        wording_pairs(sigs).select(
+        wording_pairs(sigs, either="is_open").select(
             F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"),
             F.col("l.home").alias("home_a"), F.col("r.home").alias("home_b"),
         )
@@ -322,26 +411,27 @@ def match_records(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         pairs.where("home_b = '' AND home_a <> ''").select("b", "home_a")
     )
     # A match holds for every record folded into the signature, so unfold before attaching.
-    folded = wording_features(keyed.where("home = ''"))
-    reps = sigs.where("home = ''").select("workspace_id", "provider", *FEATURE_COLUMNS, "rep")
-    members = folded.join(reps, ["workspace_id", "provider", *FEATURE_COLUMNS]).select("node", "rep")
-    wording = mixed.join(members, F.col("a") == F.col("rep")).select(F.col("node").alias("record_id"), "component")
+    unfolded = members(keyed.where("home = ''"), sigs.where("home = ''"), "node", ["home"])
+    wording = mixed.join(unfolded, F.col("a") == F.col("rep")).select(F.col("node").alias("record_id"), "component")
 
     dated = keyed.withColumns(
         {"anchors": dates.anchors(F.col("span"), F.col("source_date")),
          "undated": dates.unresolved(F.col("span"), F.col("source_date"))}
     ).where(~F.col("undated"))
     each = dated.select("workspace_id", "node", "component", "anchors", F.explode("entities").alias("entity"))
-    # Both sides are folded to distinct date sets per entity, so a product that a third of
-    # all records name meets itself as date sets, not as records; least and greatest
+    # Homes are kept per meeting code of their dates, so a product that a third of all records
+    # name is looked up by date and never met as date set by date set; least and greatest
     # component are enough to tell one match from several.
-    homes = each.where("component IS NOT NULL").groupBy("workspace_id", "entity", F.col("anchors").alias("home_dates")).agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")
+    homes = (
+        each.where("component IS NOT NULL")
+        .withColumn("code", F.explode(dates.meeting_codes(F.col("anchors"), False)))
+        .groupBy("workspace_id", "entity", "code")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     )
     open_nodes = each.where("component IS NULL").select("workspace_id", "entity", "node", "anchors")
     probes = open_nodes.select("workspace_id", "entity", "anchors").distinct()
-    fits = (F.size("anchors") == 0) | (F.size("home_dates") == 0) | dates.compatible(F.col("anchors"), F.col("home_dates"))
-    found = probes.join(homes, ["workspace_id", "entity"]).where(fits).groupBy("workspace_id", "entity", "anchors").agg(
+    sought = probes.withColumn("code", F.explode(dates.meeting_codes(F.col("anchors"), True)))
+    found = sought.join(homes, ["workspace_id", "entity", "code"]).groupBy("workspace_id", "entity", "anchors").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     entities = open_nodes.join(found, ["workspace_id", "entity", "anchors"]).groupBy(F.col("node").alias("record_id")).agg(

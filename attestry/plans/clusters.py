@@ -123,31 +123,13 @@ def _keyed(spark, folder):
     )
 
 
-def _wording(spark, folder):
-    sigs = cluster.signatures(_keyed(spark, folder), "node", ["home"])
-    pairs = cluster.wording_pairs(sigs)
-    return pairs.select(
-        F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"),
-        F.col("l.home").alias("home_a"), F.col("r.home").alias("home_b"),
-    )
-
-
 @query(
     "wording_pairs",
-    f"""WITH {TASKS_CTE}, {_SAME_CTE} SELECT count(*) AS n_pairs, count(DISTINCT a) + count(DISTINCT b) AS n_ends,
-      CAST(sum(CASE WHEN len(ids_a) = 0 AND len(ids_b) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_idless FROM same""",
+    f"""WITH {TASKS_CTE}, {_SAME_CTE}, links AS (SELECT a AS node, b AS other FROM same UNION ALL SELECT b, a FROM same)
+    SELECT f.node, count(other) AS n_links, min(other) AS first_match FROM feat f LEFT JOIN links ON links.node = f.node GROUP BY 1""",
 )
 def wording_pairs(spark, folder):
-    # Pairs are held between folded signatures; the summary counts the record pairs they stand for.
-    pairs = _wording(spark, folder)
-    idless = (F.col("home_a") == "") & (F.col("home_b") == "")
-    product = F.col("n_a") * F.col("n_b")
-    ends = pairs.select(F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit("a").alias("side")).union(
-        pairs.select("b", "n_b", F.lit("b"))
-    )
-    return pairs.agg(
-        F.sum(product).alias("n_pairs"), F.sum(F.when(idless, product).otherwise(0)).alias("n_idless")
-    ).withColumn("n_ends", ends.distinct().agg(F.sum("n")).scalar())
+    return cluster.wording_links(_keyed(spark, folder), "node")
 
 
 @query(
@@ -158,8 +140,11 @@ def wording_pairs(spark, folder):
     SELECT p.x AS a, p.y AS b FROM one p JOIN one q ON q.x = p.y AND q.y = p.x WHERE p.x < p.y""",
 )
 def reciprocal_unique_match(spark, folder):
-    pairs = _wording(spark, folder).where("home_a = '' AND home_b = ''")
-    return cluster.reciprocal_unique(pairs.select("a", "b", "n_a", "n_b")).select("a", "b")
+    sigs = cluster.signatures(_keyed(spark, folder).where("home = ''"), "node", [])
+    pairs = cluster.wording_pairs(sigs).select(
+        F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b")
+    )
+    return cluster.reciprocal_unique(pairs).select("a", "b")
 
 
 def _known(spark, folder):
