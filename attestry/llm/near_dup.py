@@ -36,7 +36,7 @@ from attestry.llm.common import NO_ID, Shelf, WordHashes, components, keyed, mix
 from attestry.session import broadcast_if_small
 
 SHINGLE = 5
-CHUNK = 100_000  # shingles that are signed together
+CHUNK = 20_000  # shingles that are signed together
 
 
 @dataclass(frozen=True)
