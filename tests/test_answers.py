@@ -130,3 +130,18 @@ def test_search_ranks_boosts_exactly(spark):
     for r in sorted(asking.tfidf_topk(queries, documents, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r.doc_id)
     assert got == {1: [1, 2, 3], 2: [0, 5], 3: [9, 8, 7]}
+
+
+def test_grounding_writes_little_beside_the_texts(spark, tmp_path):
+    rng = random.Random(7)
+    lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(11)) + "." for _ in range(3000)]
+    pages = spark.createDataFrame([(d, 1, " ".join(lines[d * 300 : d * 300 + 300])) for d in range(10)], "doc_id long, page int, text string")
+    facts = spark.createDataFrame([(f"f{i}", x, i // 300, 1) for i, x in enumerate(lines)], "item_id string, passage string, doc_id long, page int")
+    context = spark.sparkContext
+    folder = tmp_path / "cut"
+    context.setCheckpointDir(str(folder))
+    got = evaluate.grounding(facts, pages).groupBy("verdict").count().collect()
+    written = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    context.setCheckpointDir(str(tmp_path / "after"))
+    assert [tuple(r) for r in got] == [("grounded", 3000)]
+    assert written <= 4 * sum(map(len, lines))
