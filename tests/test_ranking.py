@@ -57,3 +57,14 @@ def test_follow_up_reads_the_best_ranked_passages(spark, monkeypatch):
     got = {(r.question_id, r.place): r.passage for r in read[0].collect()}
     ranked = plans.asking.rank_evidence(plans.feature_pairs(spark, "/root/testdata/sf0.001"))
     assert got == {(r.question_id, r["rank"]): f"{r.title}. {r.excerpt}" for r in ranked.collect()}
+
+
+def test_only_records_that_meet_a_question_are_read_for_features(spark, monkeypatch):
+    import attestry.plans.asking as plans
+    from attestry.plans.fixtures import records
+
+    folder, read = "/root/testdata/sf0.001", []
+    features = plans.asking.passage_features
+    monkeypatch.setattr(plans.asking, "passage_features", lambda df, body: read.append(df.count()) or features(df, body))
+    met = plans.feature_pairs(spark, folder).select("record_id").distinct().count()
+    assert read == [met] and met < records(spark, folder).count()
