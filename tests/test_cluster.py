@@ -146,3 +146,14 @@ def test_pairs_without_an_open_side_are_left_out(spark):
     sigs = cluster.signatures(df, "record_id", ["home"]).withColumn("is_open", F.col("home") == "")
     got = {(r.rep, r.rep2) for r in cluster.wording_pairs(sigs, "is_open").collect()}
     assert got == {("r0000", "r0001"), ("r0000", "r0002")}
+
+
+def test_wording_features_are_taken_once(spark, monkeypatch):
+    calls = []
+    features = cluster.wording_features
+    monkeypatch.setattr(cluster, "wording_features", lambda df: calls.append(1) or features(df))
+    span = "Please review the contract for the northern harbour office."
+    rows = [(1, f"r{i}", p, "Note", span, DAY) for i, p in enumerate(["slack", "gmail", "slack"])]
+    df = spark.createDataFrame(rows, "workspace_id int, record_id string, provider string, title string, span string, source_date date")
+    got = {r.record_id: r.n_links for r in cluster.wording_links(df, "record_id").collect()}
+    assert got == {"r0": 1, "r1": 2, "r2": 1} and calls == [1]
