@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,11 +13,23 @@ from attestry import rules
 from attestry.functions import text
 
 
+def suspect(col: Column) -> Column:
+    """Whether a text holds a word that some redaction rule needs; no rule finds anything in other texts.
+
+    Replacements bring in no such word, so the test holds for the text that earlier rules left behind.
+    """
+    low = F.lower(col)
+    has = lambda c, words: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    assigned = has(col, ":=") & has(low, rules.CREDENTIAL_STEMS)
+    return assigned | has(col, rules.SECRET_MARKS) | has(low, rules.SECRET_WORDS)
+
+
 def redact(col: Column) -> Column:
-    """Apply every redaction rule in order."""
+    """Apply every redaction rule in order, to texts that may hold a secret."""
+    out = col
     for _, regex, value in rules.SECRET_RULES:
-        col = text.replace(col, regex, value)
-    return col
+        out = text.replace(out, regex, value)
+    return F.when(suspect(col), out).otherwise(col)
 
 
 def hit_counts(col: Column) -> list[Column]:

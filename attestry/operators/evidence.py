@@ -43,9 +43,11 @@ def canonical_provider(*candidates: Column) -> Column:
 
 
 def secret_counts(df: DataFrame, body: str, group: str) -> DataFrame:
-    """Hits per rule and group over whole texts."""
+    """Hits per rule and group over whole texts; the rules read only texts that may hold a secret."""
     names = [name for name, _, _ in rules.SECRET_RULES]
-    hits = df.select(group, *secrets.hit_counts(F.col(body)))
+    held = df.select(group, F.col(body).isNotNull().alias("_text"), F.when(secrets.suspect(F.col(body)), F.col(body)).alias("_body"))
+    counts = held.select(group, "_text", *secrets.hit_counts(F.col("_body")))
+    hits = counts.select(group, *[F.coalesce(F.col(n), F.when(F.col("_text"), 0)).alias(n) for n in names])
     some = F.greatest(*[F.col(n) for n in names]) > 0
     return hits.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_texts"),
@@ -148,24 +150,25 @@ def _public(value: Column, kind: T.DataType, name: str, owner: Column, prefix: s
 
 
 def _public_map(value: Column, kind: T.MapType, owner: Column, prefix: str) -> Column | None:
+    """Public form of a map; the plain form of a key is made once per entry."""
     plain = lambda k: F.regexp_replace(F.lower(k.cast("string")), "[^a-z0-9]", "")
     text_value = isinstance(kind.valueType, T.StringType)
     if not text_value and _public(F.lit(None), kind.valueType, "", owner, prefix) is None:
         return None
-    shown = F.map_filter(value, lambda k, v: ~(plain(k).isin(*rules.OMITTED_KEYS) | F.contains(plain(k), F.lit("hash"))))
+    entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), plain(e["key"]).alias("plain")))
+    shown = F.filter(entries, lambda e: ~(e["plain"].isin(*rules.OMITTED_KEYS) | F.contains(e["plain"], F.lit("hash"))))
 
-    def one(k: Column, v: Column) -> Column:
+    def one(key: Column, v: Column) -> Column:
         safe = _public(v, kind.valueType, "", owner, prefix)
         if not text_value:
             return safe
-        key = plain(k)
         what = F.coalesce(F.nullif(F.regexp_replace(key, "ids?$", ""), F.lit("")), F.lit("ref"))
         alias = secrets.public_alias(prefix, owner, what, v)
-        return F.when(key.rlike("url$") | key.isin("href", "permalink"), F.lit(None).cast("string")).when(
-            key.rlike("ids?$") | key.isin("source", "target"), F.when(v.isNotNull(), alias)
+        return F.when(F.endswith(key, F.lit("url")) | key.isin("href", "permalink"), F.lit(None).cast("string")).when(
+            F.endswith(key, F.lit("id")) | F.endswith(key, F.lit("ids")) | key.isin("source", "target"), F.when(v.isNotNull(), alias)
         ).otherwise(safe)
 
-    return F.transform_values(shown, one)
+    return F.map_from_entries(F.transform(shown, lambda e: F.struct(e["key"].alias("key"), one(e["plain"], e["value"]).alias("value"))))
 
 
 def intact(df: DataFrame, payload: str, stored_hash: str, release: str, current: Column) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from datetime import date
 
-from attestry.operators import asking
+from pyspark.sql import functions as F
+
+from attestry.functions import secrets
+from attestry.operators import asking, evidence
 
 
 def _plan(df) -> str:
@@ -18,3 +21,18 @@ def test_ranking_shuffles_no_postings_or_pairs(spark):
     found = asking.tfidf_topk(queries, documents, 2)
     assert "hashpartitioning(doc_id" not in _plan(found) and "hashpartitioning(query_id, doc_id" not in _plan(found)
     assert [(r.query_id, r.doc_id, r["rank"]) for r in found.orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_rules_skip_texts_without_their_words(spark):
+    texts = ["a-" * 20000, "API_KEY = 'x1'", "my bearer abc", "see https://u:p@h/x", "no Secret here", None, "ATTIO_abcdefghijklmnop"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(secrets.redact(F.col("t"))).collect()] == [
+        texts[0], "API_KEY = '[REDACTED]'", "my bearer [REDACTED]", "see https://u:[REDACTED]@h/x", texts[4], None, "[REDACTED]"
+    ]
+
+
+def test_counting_skips_texts_without_secret_words(spark):
+    df = spark.createDataFrame([("a", "b-" * 20000), ("a", "token: x1, password=y"), ("b", None)], "g string, t string")
+    rows = {r.g: r for r in evidence.secret_counts(df, "t", "g").collect()}
+    assert (rows["a"].n_texts, rows["a"].n_with_secret, rows["a"].n_credential, rows["a"].n_bearer) == (2, 1, 2, 0)
+    assert (rows["b"].n_texts, rows["b"].n_with_secret, rows["b"].n_credential) == (1, 0, None)
