@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from attestry.functions import secrets
-from attestry.operators import asking, evidence
+from attestry.operators import asking, cluster, evidence
 
 
 def _plan(df) -> str:
@@ -36,3 +36,12 @@ def test_counting_skips_texts_without_secret_words(spark):
     rows = {r.g: r for r in evidence.secret_counts(df, "t", "g").collect()}
     assert (rows["a"].n_texts, rows["a"].n_with_secret, rows["a"].n_credential, rows["a"].n_bearer) == (2, 1, 2, 0)
     assert (rows["b"].n_texts, rows["b"].n_with_secret, rows["b"].n_credential) == (1, 0, None)
+
+
+def test_ids_of_one_row_make_no_links(spark, monkeypatch):
+    seen = []
+    real = cluster.connected
+    monkeypatch.setattr(cluster, "connected", lambda e: seen.append(e.count()) or real(e))
+    rows = spark.createDataFrame([("a", ["1", "2", "x"]), ("b", ["3", "x"]), ("c", ["4", "5", "6"]), ("d", ["6x", "7"]), ("e", ["4", "9"])], "k string, ids array<string>")
+    out = {r.k: r.component for r in cluster.identifier_components(rows, "k", "ids").collect()}
+    assert out == {"a": "1", "b": "1", "c": "4", "d": "6x", "e": "4"} and seen == [1]
