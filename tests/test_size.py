@@ -4,8 +4,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from attestry import rules
 from attestry.functions import secrets
-from attestry.operators import asking, cluster, evidence
+from attestry.operators import asking, cluster, evidence, textjobs
 
 
 def _plan(df) -> str:
@@ -45,3 +46,30 @@ def test_ids_of_one_row_make_no_links(spark, monkeypatch):
     rows = spark.createDataFrame([("a", ["1", "2", "x"]), ("b", ["3", "x"]), ("c", ["4", "5", "6"]), ("d", ["6x", "7"]), ("e", ["4", "9"])], "k string, ids array<string>")
     out = {r.k: r.component for r in cluster.identifier_components(rows, "k", "ids").collect()}
     assert out == {"a": "1", "b": "1", "c": "4", "d": "6x", "e": "4"} and seen == [1]
+
+
+def test_units_cut_a_text_once(spark):
+    body = "Intro line of some words. Second  sentence\there it is.\n- first item of the list is long\n- second item of the list too"
+    df = textjobs.sentence_units(spark.createDataFrame([(1, body)], "k int, body string"), ["k"], F.col("body"))
+    assert [r.unit for r in df.orderBy("ordinal").collect()] == [
+        "Intro line of some words.", "Second sentence here it is.", "first item of the list is long", "second item of the list too"
+    ]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?=[ \\t]*[-*][ \\t]+)") == 1
+
+
+def test_every_strong_signal_holds_a_strong_word(spark):
+    said = [
+        "We will ship it", "the team 'll do", "Dana Fox needs to go", "it was promised", "still open", "an escalation", "deadline was Friday",
+        "postponed to 2026-01-02", "are being reviewed", "is in progress", "please merge", "action:fix", "could you please update", "AB-1 isdue", "renewal due",
+        "reported outage", "unsubscribe now", "remains blocked", "OVERDUE",
+    ]
+    signal = textjobs._any(F.col("t"), rules.STRONG_TASK_SIGNALS)
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select(signal.alias("s"), F.col("t").rlike(rules.STRONG_TASK_WORDS).alias("w")).collect()
+    assert all(r.w for r in rows) and sum(r.s for r in rows) >= 15
+
+
+def test_spans_cut_a_text_once(spark):
+    df = spark.createDataFrame([("a", "Engineering will ship ENG-1 today. Nothing else is said.")], "k string, body string")
+    spans = textjobs.task_spans(df, "k", [], F.col("body"))
+    assert spans.collect()[0].span == "Engineering will ship ENG-1 today."
+    assert spans._jdf.queryExecution().optimizedPlan().toString().count("(?=[*-]\\s+)") == 1
