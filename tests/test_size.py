@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry import rules
 from attestry.functions import secrets
-from attestry.operators import asking, cluster, evidence, textjobs
+from attestry.operators import asking, cluster, evidence, graph, textjobs
 
 
 def _plan(df) -> str:
@@ -73,3 +73,14 @@ def test_spans_cut_a_text_once(spark):
     spans = textjobs.task_spans(df, "k", [], F.col("body"))
     assert spans.collect()[0].span == "Engineering will ship ENG-1 today."
     assert spans._jdf.queryExecution().optimizedPlan().toString().count("(?=[*-]\\s+)") == 1
+
+
+def test_proof_graph_shuffles_keys_not_ids(spark):
+    rows = lambda data, names: spark.createDataFrame(data, f"question_id long, seq int, {names}")
+    providers = rows([(1, 1, "a", "received"), (1, 2, "b", "not-required")], "provider string, status string")
+    evidence = rows([(1, 2, 5, "late", "a"), (1, 1, 5, "early", "a"), (1, 3, 6, "six", "b")], "evidence_id long, title string, provider string")
+    links = rows([(1, 1, "c1", "claim", 5), (1, 2, "c1", "other", 5), (1, 3, "c2", "none", 9)], "key string, label string, evidence_id long")
+    nodes, edges = graph.proof_graph(providers, evidence, links, links.limit(0), links.limit(0))
+    assert {(r.id, r.label) for r in nodes.collect()} == {("provider:a", "a"), ("evidence:5", "early"), ("evidence:6", "six"), ("claim:c1", "claim"), ("claim:c2", "none")}
+    assert sorted(r.id for r in edges.collect()) == ["returned:a:5", "supports:5:claim:c1"]
+    assert "hashpartitioning(graph" not in _plan(edges) + _plan(nodes)
