@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry import rules
 from attestry.functions import secrets
-from attestry.operators import asking, cluster, evidence, graph, textjobs
+from attestry.operators import asking, cluster, evaluate, evidence, graph, textjobs
 
 
 def _plan(df) -> str:
@@ -84,3 +84,32 @@ def test_proof_graph_shuffles_keys_not_ids(spark):
     assert {(r.id, r.label) for r in nodes.collect()} == {("provider:a", "a"), ("evidence:5", "early"), ("evidence:6", "six"), ("claim:c1", "claim"), ("claim:c2", "none")}
     assert sorted(r.id for r in edges.collect()) == ["returned:a:5", "supports:5:claim:c1"]
     assert "hashpartitioning(graph" not in _plan(edges) + _plan(nodes)
+
+
+def test_grading_reads_a_citation_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(value):
+        reads.add(1)
+        return value
+
+    fact = lambda phrase: ("f", [phrase], [])
+    cases = spark.createDataFrame(
+        [(k, "Atlas launch: 42.", [fact("42"), fact("Atlas launch")], ["slack"], ["slack"], False) for k in (1, 2)],
+        "case_id int, answer string, facts array<struct<fact_id:string,any_of:array<string>,all_of:array<array<string>>>>, "
+        "required_providers array<string>, provider_coverage array<string>, needs_contradiction boolean",
+    )
+    claims = spark.createDataFrame(
+        [(k, 1, "It took 42 hours", ["a"], ["Slack"]) for k in (1, 2)],
+        "case_id int, claim_no int, claim string, citation_ids array<string>, providers array<string>",
+    )
+    # Whether the bare number is about the launch is told by the title of the citation alone.
+    citations = spark.createDataFrame(
+        [(1, "a", "slack", "Atlas launch", "It took 42 hours. Fine."), (2, "a", "slack", "Other", "It took 42 hours. Fine.")],
+        "case_id int, citation_id string, provider string, title string, excerpt string",
+    ).withColumn("excerpt", read("excerpt"))
+    contradictions = spark.createDataFrame([(1, 1, "slack says 42", ["a"])], "case_id int, conflict_no int, summary string, evidence_ids array<string>")
+    got = evaluate.grade(cases, claims, citations, contradictions).collect()
+    assert {r.case_id: (r.citation_pass, r.relevance_pass, r.provider_pass, r["pass"]) for r in got} == {1: (True,) * 4, 2: (True, False, False, False)}
+    assert reads.value == 2
