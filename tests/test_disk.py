@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from attestry.operators import evaluate
+from attestry.operators import evaluate, graph
 from attestry.session import written_table
 
 
@@ -47,3 +47,18 @@ def test_sentences_of_a_text_without_marks_are_cut_in_one_pass(spark, tmp_path):
     spark.createDataFrame([(1, "no mark no mark")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.verdict: r.first_doc for r in passage_grounding_check(spark, str(tmp_path)).where("length(item_id) = 32").collect()}
     assert got == {"grounded": 2}
+
+
+def test_graphs_merged_in_parts_count_as_at_once(spark):
+    from attestry.plans.graphs import _lineage_graph, _packet_graph
+
+    graphs = [make(spark, "/root/testdata/sf0.001") for make in (_packet_graph, _lineage_graph)]
+    want = sorted(graph.counts(*graph.merged(graphs)).collect())
+    split = graph.merge_counts(graphs, 3)
+    assert sorted(split.collect()) == want and len(want) == 9
+    # Each part is read alone: its rows, not those of all ids, are what a shuffle gets.
+    nodes = graphs[1][0].where(F.pmod(F.xxhash64("id"), F.lit(3)) == 0)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "l_orderkey" in line and "Relation" in line)
+    assert any("xxhash64" in line for line in lines[max(i for i in range(at) if "Aggregate" in lines[i]) : at])
